@@ -28,13 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by stored() that nothing reads any more."""
+    if path := getattr(df, "_stored_at", None):
+        system, at = _folder(df.sparkSession, path)
+        system.delete(at, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage
     is cut and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ripplegraph/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def tasks(spark: SparkSession) -> int:

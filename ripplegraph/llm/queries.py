@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .language_id import op9_language_id
+from .near_dedup import op1_minhash_dedup
 from .quality import op3_quality
 from .token_output import op5_token_output
 from .topk import OP2_SQL, op2_topk_search
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_topk_search": op2_topk_search,
     "op3_quality": op3_quality,
     "op5_token_output": op5_token_output,
