@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .fingerprint import op4_fingerprint
 from .language_id import op9_language_id
 from .near_dedup import op1_minhash_dedup
+from .pieces import op10_sentencepiece
 from .quality import op3_quality
 from .token_output import op5_token_output
 from .topk import OP2_SQL, op2_topk_search
@@ -12,7 +14,9 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_topk_search": op2_topk_search,
     "op3_quality": op3_quality,
+    "op4_fingerprint": op4_fingerprint,
     "op5_token_output": op5_token_output,
     "op9_language_id": op9_language_id,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES = {"op2_topk_search": OP2_SQL}
