@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored, table
+from .common import crc_mod, discard, stored, table
 
 #: Bounds of the fit: labelled rows taken of each class, preference pairs drawn from them.
 FIT_ROWS, FIT_PAIRS = 6000, 60_000
@@ -171,6 +171,24 @@ def judge(docs: DataFrame, labels: DataFrame, *, only=None) -> DataFrame:
     return rank(found, fit(known if only is None else known.where(only(F.col("id")))))
 
 
+def good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs (with doc_id), all columns as they are, that a ranker learned from labels keeps.
+
+    Features are computed once to learn from and once to filter by, so that no text is shuffled.
+    """
+    found = stored(feature_table(docs, text_col=text_col), "quality-features")
+    ranker = fit(labelled(found, labels))
+    discard(found)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(len(batch), len(FEATURES))
+            yield batch.filter(pa.array(ranker.score(x) >= KEEP_SCORE))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), only=lambda c: F.crc32(c.cast("string")) % 5 != 0)
     return scored.select(
