@@ -22,8 +22,10 @@ from .common import crc_mod, table
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1600, 400, 200_000
 #: Texts are compressed in pieces of so many bytes, so that a long text is measured against the dictionary and not against itself.
 PIECE_BYTES = 4096
+#: Of a text of fewer characters the sizes are means over so many turns of its words, as whole bytes are coarse there.
+SHORT, TURNS = 300, 8
 #: A text whose second-best language needs less than this share more bytes is rejected.
-MIN_MARGIN = 0.002
+MIN_MARGIN = 0.0005
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -60,8 +62,12 @@ class Model:
         form = normal_form(text)
         if not form:
             return None
-        raw = f" {form} ".encode("utf-8", "replace")
         out = np.zeros(len(self.dictionaries))
+        if len(form) < SHORT:
+            words = form.split(" ")
+            turns = [" ".join(words[i:] + words[:i]) for i in range(0, len(words), -(-len(words) // TURNS))]
+            return out + np.mean([[len(c.compress(f" {t} ".encode("utf-8", "replace"))) for c in self.compressors()] for t in turns], 0)
+        raw = f" {form} ".encode("utf-8", "replace")
         for at in range(0, len(raw), PIECE_BYTES):
             piece = raw[at : at + PIECE_BYTES]
             out += [len(c.compress(piece)) for c in self.compressors()]
