@@ -2,13 +2,12 @@
 
 One-permutation hashing with optimal densification gives each distinct shingle set BINS
 minima; bands of ROWS minima are bucket keys. A bucket gives a star of candidate edges
-from its smallest id, not all its pairs. What a star leaves apart is tried again in
-rounds: members outside a bucket's largest component become centres, a growing share of
-them each round, until the bucket is one component or every such member has been one.
-So no pair that shares a bucket goes untested unless its ends are already linked.
+from its smallest id, not all its pairs. Members that the star leaves in different
+components are compared once more where counts and shingles outside of the centre's set
+allow a link at all, so that no pair that shares a bucket and could be linked goes untested.
 
 Exact copies of a set are folded into one representative first. At the similarity of
-0.8 a pair shares no bucket with a probability of about (1 - 0.8 ** 5) ** 40 = 1e-7.
+0.8 a pair shares no bucket with a probability of about (1 - 0.8 ** 6) ** 54 = 1e-7.
 """
 
 from __future__ import annotations
@@ -25,14 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored, table
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 54, 6
 BINS = BANDS * ROWS
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Share of equal minima below which a pair isn't compared in full: more than six standard deviations under PERCENT.
-SKETCH_SHARE = 0.62
-#: Centres a bucket may have in the first repeated round, and how their number grows with each.
-CENTRES = 8
+SKETCH_SHARE = 0.66
 CACHE_WORDS = 400_000
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)[:-1].astype(np.uint64)
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -194,6 +191,35 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _apart(buckets: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b that share a bucket, lie in different components so far and may be linked.
+
+    Two members of a bucket are compared by way of its centre c, to which each has an exact
+    intersection. Members x and y share at most min(|x & c|, |y & c|) shingles that c has. If
+    they share none that c lacks, that must do for a link (few pairs are so, most are
+    ruled out by their counts); otherwise they meet in a shingle that c lacks. Of those
+    a prefix is enough: as many as can be missed and still leave the overlap a link needs.
+    One member of a pair is outside the centre's largest component.
+    """
+    wide = buckets.where("members > 2 and id <> centre").select("centre", "id").distinct()
+    now = wide.join(found, "id", "left").select("centre", "id", F.coalesce("comp", "id").alias("comp"))
+    tally = now.groupBy("centre", "comp").agg(F.count("*").alias("c")).groupBy("centre").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+    open_ = now.join(tally.where("all > top.c").select("centre", F.col("top.comp").alias("main")), "centre")
+    measured = open_.join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("s").alias("cs")), "centre")
+    measured = measured.select("centre", "id", "comp", (F.col("comp") != F.col("main")).alias("minor"), F.size("s").alias("n"), F.size(F.array_intersect("s", "cs")).alias("i"), F.array_except("s", "cs").alias("lacks"))
+    measured = stored(measured, "measured")
+
+    other = lambda df, *more: df.select("centre", F.col("id").alias("p"), F.col("comp").alias("pc"), *more)
+    near = measured.where(100 * F.col("i") >= PERCENT * F.col("n"))
+    most = F.least("i", "pi")
+    by_counts = near.join(other(near.where("minor"), F.col("n").alias("pn"), F.col("i").alias("pi")), "centre")
+    by_counts = by_counts.where((F.col("comp") != F.col("pc")) & (100 * most >= PERCENT * (F.col("n") + F.col("pn") - most)))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100.0).cast("int") - F.col("i"))
+    prefix = measured.select("centre", "id", "comp", "minor", F.explode(F.slice("lacks", F.lit(1), F.greatest(F.lit(0), F.size("lacks") - needed + 1))).alias("shingle"))
+    by_shingle = prefix.join(other(prefix.where("minor"), "shingle"), ["centre", "shingle"]).where("comp <> pc")
+    return by_counts.select("id", "p").union(by_shingle.select("id", "p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -217,26 +243,14 @@ def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text
     links = stored(_confirmed(tested, sets).union(_same_id(base, copies)), "links")
     found = components(links)
 
-    rest = buckets.where("members > 2 and id <> centre").select("key", "id")
-    share, old = CENTRES, [buckets, tested]
-    while True:
-        now = rest.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        tally = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
-        split = tally.where("all > top.c").select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("others"))
-        chosen = (F.col("comp") != F.col("main")) & (F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30)) * F.col("others") < F.lit(float(share << 30)))
-        open_ = stored(now.join(split, "key").select("key", "id", "comp", chosen.alias("centre")), "open")
-        for df in old:
-            discard(df)
-        if open_.isEmpty():
-            break
-        centres = open_.where("centre").select("key", F.col("id").alias("p"), F.col("comp").alias("pc"))
-        pairs = open_.join(centres, "key").where("comp <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        more = stored(_confirmed(_alike(pairs, marks), sets), "links")
+    apart = _apart(buckets, found, sets)
+    more = stored(_confirmed(_alike(apart, marks), sets), "links")
+    for df in (buckets, tested):
+        discard(df)
+    if not more.isEmpty():
         links = stored(links.union(more), "links")
-        discard(more)
         discard(found)
         found = components(links)
-        rest, share, old = open_.where("not centre").select("key", "id"), share * CENTRES, [open_]
 
     by_set = copies.select("s1", "s2", F.col("rep").alias("id")).join(found, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("comp"))
     out = stored(_result(base, by_set), "components")
