@@ -13,13 +13,14 @@ and a task that runs again after a lost executor leaves no second copy.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ END_ID = 2
 #: Numbers in a block at most, unless one document is longer.
 BLOCK_NUMBERS = 1 << 16
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
-_RUN = re.compile(r" \s|\s ")
+CACHE_WORDS = 500_000
+_WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUN = f" {_WHITE}|{_WHITE} "
 #: For each control byte the lengths of its four numbers.
 LENGTHS = np.array([[((c >> 2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 
@@ -53,6 +55,10 @@ class Encoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.widths = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.widths[i] = len(token)  # a byte-level token has a character for each byte
 
     def packed(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -60,22 +66,65 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts(self, text: str) -> list[str] | None:
-        if _RUN.search(text) or any(s in text for s in self.specials):
-            return None
-        head, *rest = text.split(" ")
-        return [head, *[" " + p for p in rest]]
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it; joined to one text, as one long text costs
+        less than many, and cut again where the tokens' bytes end with a word's."""
+        text = " " + " ".join(words)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        reach = np.cumsum(self.widths[ids])
+        cuts = np.searchsorted(reach, ends, "right")
+        if not len(ids) or (reach[cuts - 1] != ends).any():
+            return self.whole([" " + w for w in words])
+        return [ids[a:b].tobytes() for a, b in zip(np.append(0, cuts[:-1]), cuts)]
+
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it, remembered from call to call."""
+        if len(self.known) > CACHE_WORDS:  # what comes again is taken over, the rest forgotten
+            self.older, self.known = self.known, {}
+        missing = set(words) - self.known.keys()
+        again = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        if "" in missing:
+            self.known[""] = self.whole([" "])[0]
+        fresh = list(missing - again - {""})
+        for at in range(0, len(fresh), 2048):
+            self.known.update(zip(fresh[at : at + 2048], self.merged(fresh[at : at + 2048])))
+        return list(map(self.known.__getitem__, words))
+
+    def encode_column(self, texts: pa.Array, end: list[int]) -> pa.Array:
+        """Ids of every text, and the end ids, as a binary column of little-endian numbers."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, _RUN)
+        for special in self.specials:
+            whole = pc.or_(whole, pc.match_substring(texts, special))
+        lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        coded = lists.flatten().dictionary_encode()
+        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        words = coded.dictionary.to_pylist()
+        places = coded.indices.to_numpy().astype(np.int64)
+        heads = pc.if_else(whole, texts, coded.dictionary.take(coded.indices.take(pa.array(starts)))).to_pylist()
+        places[starts] = len(words) + np.arange(len(texts))
+        parts = self.spaced(words) + self.whole(heads)
+        store = np.frombuffer(b"".join(parts), self.kind)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // store.itemsize
+        begins = np.cumsum(sizes) - sizes
+        counts = sizes[places]
+        ends = np.cumsum(counts)
+        ids = store[np.repeat(begins[places] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        of_text = np.append(ends, 0)[np.append(starts[1:], len(places)) - 1] if len(texts) else ends
+        ids = np.insert(ids, np.repeat(of_text, len(end)), np.tile(np.array(end, self.kind), len(texts)))
+        offsets = np.append(0, of_text + len(end) * np.arange(1, len(texts) + 1)) * store.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text as little-endian numbers of the encoder's kind."""
-        texts = [t or "" for t in texts]
-        cut = [self.parts(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        fresh = list({p for parts in cut if parts for p in parts if p not in self.known})
-        for at in range(0, len(fresh), 4096):
-            self.known.update(zip(fresh[at : at + 4096], self.whole(fresh[at : at + 4096])))
-        return [b"".join(map(self.known.__getitem__, parts)) if parts else self.whole([t])[0] for t, parts in zip(texts, cut)]
+        return self.encode_column(pa.array(texts, pa.string()), []).to_pylist()
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One per Python worker, so that it remembers words from task to task."""
+    return Encoder(path)
 
 
 def ranking(counts: np.ndarray) -> np.ndarray:
@@ -107,13 +156,11 @@ def tokenized(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
     """doc_id, ids (binary, little-endian) of every row, the end id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(path)
-            end = encoder.packed([END_ID])
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in encoder.encode(part.column(1).to_pylist())], pa.binary())], names=["doc_id", "ids"])
+            encoder = encoder_of(path)
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([part.column(0), encoder.encode_column(part.column(1), [END_ID])], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -124,8 +171,7 @@ def frequencies(tokens: DataFrame, kind: type, size: int) -> np.ndarray:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int64)
         for f in frames:
-            for x in f["ids"]:
-                total += np.bincount(np.frombuffer(x, kind), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(f["ids"]), kind), minlength=size)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
@@ -208,7 +254,7 @@ def write_and_read(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     A null text is empty and has the end id alone; repeated rows are documents of their
     own; an empty table gives no blocks and no rows.
     """
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     size = max(encoder.library.get_vocab_size(), END_ID + 1)
     tokens = stored(tokenized(docs, path), "tokens")
     order = ranking(frequencies(tokens, encoder.kind, size))
