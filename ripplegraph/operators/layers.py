@@ -70,34 +70,50 @@ def cross(a: Column, b: Column) -> Column:
     return is_layer(a) & is_layer(b) & (a != b)
 
 
-#: Alternative ontologies: how a layer is renamed (itself if not named), and which roles the mediation ratio has.
+# Alternative ontologies, how each renames layers (itself if not named) and
+# which roles of the mediation ratio its layers have. The fifth splits biological by keywords.
 SCHEMES = {
-    "four": ({}, {"physical": "p", "biological": "b", "economic": "e"}),
-    "three_social": ({"economic": "socioeconomic", "social": "socioeconomic"}, {"physical": "p", "biological": "b", "socioeconomic": "e"}),
-    "three_natural": ({"physical": "natural", "biological": "natural"}, {"natural": "p", "social": "b", "economic": "e"}),
-    "two": ({"physical": "natural", "biological": "natural", "social": "human", "economic": "human"}, {}),
+    "baseline_4layer": ({}, {"physical": "p", "biological": "b", "economic": "e"}),
+    "3layer_v1_merge_SE": ({"social": "socioeconomic", "economic": "socioeconomic"}, {"physical": "p", "biological": "b", "socioeconomic": "e"}),
+    "3layer_v2_merge_BS": ({"biological": "bio-social", "social": "bio-social"}, {"physical": "p", "bio-social": "b", "economic": "e"}),
+    "5layer_bio_split": ({}, {"physical": "p", "health": "b", "ecological": "b", "biological": "b", "economic": "e"}),
+    "2layer_coarse": ({"physical": "environmental", "biological": "environmental", "social": "human", "economic": "human"}, {}),
 }
+SPLIT = "5layer_bio_split"
+# End of fixed values.
+FINE = ("physical", "health", "ecological", "biological", "social", "economic")
 
 
-def scheme_table(spark) -> DataFrame:
-    """scheme, layer, new_layer, role for every scheme and layer."""
+def scheme_rows() -> list[tuple[str, str, str, str]]:
+    """scheme, fine layer (biological in three parts), new layer, role."""
     rows = []
     for name, (renamed, roles) in SCHEMES.items():
-        for layer in LAYERS:
-            new = renamed.get(layer, layer)
-            rows.append(f"('{name}', '{layer}', '{new}', '{roles.get(new, '-')}')")
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(scheme, layer, new_layer, role)")
+        for fine in FINE:
+            whole = "biological" if fine in ("health", "ecological") and name != SPLIT else fine
+            new = renamed.get(whole, whole)
+            rows.append((name, fine, new, roles.get(new, "-")))
+    return rows
+
+
+def scheme_table(spark) -> DataFrame:
+    """scheme, layer (fine), new_layer, role for every scheme and layer."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, scheme_rows()))} AS t(scheme, layer, new_layer, role)")
+
 
+def experiment(edges: DataFrame, fine: DataFrame) -> DataFrame:
+    """Per scheme: edges between known layers, cross-layer edges and mediation by role; bmr is null where the scheme has no roles.
 
-def experiment(edges_with_layers: DataFrame) -> DataFrame:
-    """Per scheme: edges, cross-layer edges and mediation by role; null where the scheme has no roles."""
-    schemes = F.broadcast(scheme_table(edges_with_layers.sparkSession))
+    fine: node, layer with biological in three parts (keywords.split_biological).
+    """
+    schemes = F.broadcast(scheme_table(edges.sparkSession))  # 30 rows
+    placed = with_node_layers(edges, fine)
     a = schemes.select("scheme", F.col("layer").alias("nsl"), F.col("new_layer").alias("a"), F.col("role").alias("ra"))
     b = schemes.select("scheme", F.col("layer").alias("nel"), F.col("new_layer").alias("b"), F.col("role").alias("rb"))
-    joined = edges_with_layers.join(a, "nsl").join(b, ["scheme", "nel"])
-    role = lambda x, y: F.count_if((F.col("ra") == x) & (F.col("rb") == y))
-    out = joined.groupBy("scheme").agg(F.count("*").alias("edges"), F.count_if(F.col("a") != F.col("b")).alias("crossing"), role("p", "b").alias("pb"), role("b", "e").alias("be"), role("p", "e").alias("pe"))
-    return out.withColumn("bmr", F.when(F.col("scheme") != "two", ratio(F.col("pb") + F.col("be"), F.col("pe"))))
+    joined = placed.groupBy("nsl", "nel").agg(F.count("*").alias("n")).join(a, "nsl").join(b, ["scheme", "nel"])
+    some = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0).cast("long"))
+    role = lambda x, y: some((F.col("ra") == x) & (F.col("rb") == y))
+    out = joined.groupBy("scheme").agg(F.sum("n").alias("edges"), some(F.col("a") != F.col("b")).alias("crossing"), role("p", "b").alias("pb"), role("b", "e").alias("be"), role("p", "e").alias("pe"))
+    return out.withColumn("bmr", F.when(F.col("scheme") != "2layer_coarse", ratio(F.col("pb") + F.col("be"), F.col("pe"))))
 
 
 def bridges(edges: DataFrame, layers_: DataFrame, least: int = 3) -> DataFrame:

@@ -1 +1,162 @@
-"""Queries."""
+"""Queries over the graph, its paths and their scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ripplegraph.operators import graph, keywords, scores
+
+from .runtime import PR_ROUNDS, query, stored
+
+R6 = lambda c: F.round(c, 6)
+PR = graph.pagerank_sql(PR_ROUNDS)
+MINED = graph.mined_sql()
+SC = f"{MINED}, {PR}, {scores.severity_sql()}, {scores.novelty_sql()}, sc AS MATERIALIZED (SELECT path AS path_id, round(lf, 6) AS lf, round(clc, 6) AS clc, round(ip, 6) AS ip, round(score, 6) AS score FROM nov)"
+SW = f"{SC}, {scores.combo_sql()}, sw0 AS (SELECT combo, path_id, round(alpha * lf + beta * clc + gamma * ip, 9) AS score FROM sc CROSS JOIN cb), sw AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY score DESC, path_id) AS rank FROM sw0)"
+BASE = scores.default_combo()
+
+# --- degrees and ranks ------------------------------------------------------------------
+query("agg_degree", lambda k: k.degrees.agg(R6(F.avg("degree")).alias("mean"), R6(F.percentile("degree", F.lit(0.5))).alias("median"), F.max("degree").alias("most"), R6(F.stddev_pop("degree")).alias("std"), R6(F.avg("indeg")).alias("in_mean"), R6(F.avg("outdeg")).alias("out_mean")), "SELECT round(avg(degree), 6) AS mean, round(quantile_cont(degree, 0.5), 6) AS median, max(degree) AS most, round(stddev_pop(degree), 6) AS std, round(avg(indeg), 6) AS in_mean, round(avg(outdeg), 6) AS out_mean FROM deg")
+query("agg_freqs", lambda k: k.degrees.select(F.lit("node").alias("kind"), F.col("node").alias("name"), F.col("degree").alias("n")).union(k.edges.groupBy(F.lit("relation").alias("kind"), F.col("rel").alias("name")).agg(F.count("*").alias("n"))), "SELECT 'node' AS kind, node AS name, degree AS n FROM deg UNION ALL SELECT 'relation', rel, count(*) FROM ed GROUP BY rel")
+query("agg_severity", lambda k: k.severity.select("node", R6("severity").alias("severity")), f", {scores.severity_sql()} SELECT node, round(severity, 6) AS severity FROM sev")
+query("gr_pagerank", lambda k: k.ranks.select("node", F.round("pr", 9).alias("pr")), f", {PR} SELECT node, round(pr, 9) AS pr FROM pr")
+query("srt_topk", lambda k: k.ranks.select("node", F.round("pr", 9).alias("pr")).orderBy(F.desc("pr"), "node").limit(20), f", {PR} SELECT node, round(pr, 9) AS pr FROM pr ORDER BY 2 DESC, 1 LIMIT 20")
+query("win_topn_per_layer", lambda k: k.degrees.join(k.node_layers, "node").withColumn("rank", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("degree"), "node"))).where("rank <= 5").select("layer", "rank", "node", "degree"), "SELECT layer, rank, node, degree FROM (SELECT layer, deg.node, degree, CAST(row_number() OVER (PARTITION BY layer ORDER BY degree DESC, deg.node) AS INTEGER) AS rank FROM deg JOIN nl ON deg.node = nl.node) WHERE rank <= 5")
+query("gr_components", lambda k: graph.components(k.edges, stored))
+query("gr_betweenness", lambda k: graph.betweenness(k.edges, 8).select("node", F.round("bc", 9).alias("bc")))
+query("gr_edge_betweenness", lambda k: graph.betweenness(k.edges, 8, pivots=500, of_edges=True).select("src", "dst", F.round("bc", 9).alias("bc")))
+query("srt_top_edges", lambda k: graph.betweenness(k.edges, 8, pivots=500, of_edges=True).select("src", "dst", F.round("bc", 9).alias("bc")).orderBy(F.desc("bc"), "src", "dst").limit(500))
+query("gr_communities", lambda k: graph.modularity(k.edges, graph.communities(k.edges)))
+query("gr_louvain", lambda k: graph.communities(k.edges, local_moves=True))
+
+# A partition that SQL can give as well: by the name without its number.
+NAMED = "pa AS (SELECT node, dense_rank() OVER (ORDER BY regexp_replace(node, '[0-9]+$', '')) - 1 AS community FROM deg), un AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ed), uc AS (SELECT un.*, x.community AS ca, y.community AS cb FROM un JOIN pa x ON a = x.node JOIN pa y ON b = y.node)"
+
+
+def _named(k):
+    kinds = k.degrees.select(F.regexp_replace("node", "[0-9]+$", "").alias("kind")).distinct()
+    kinds = kinds.withColumn("community", (F.dense_rank().over(Window.orderBy("kind")) - 1).cast("long"))  # one row per kind of name
+    return k.degrees.select("node", F.regexp_replace("node", "[0-9]+$", "").alias("kind")).join(kinds, "kind").select("node", "community")
+
+
+query("gr_modularity_edges", lambda k: graph.modularity(k.edges, _named(k)).select("n_edges", "intra", "inter", R6("modularity").alias("modularity")), f", {NAMED}, w AS (SELECT community, count(*) AS k FROM (SELECT ca AS community FROM uc UNION ALL SELECT cb FROM uc) GROUP BY 1) SELECT count(*) AS n_edges, count(*) FILTER (WHERE ca = cb) AS intra, count(*) FILTER (WHERE ca <> cb) AS inter, round(CAST(count(*) FILTER (WHERE ca = cb) AS DOUBLE) / count(*) - (SELECT sum(k * k) FROM w) / (4.0::DOUBLE * count(*) * count(*)), 6) AS modularity FROM uc")
+query("gr_community_center", lambda k: graph.centers(k.edges, _named(k)), f", {NAMED}, i AS (SELECT node, count(*) AS k FROM (SELECT a AS node FROM uc WHERE ca = cb UNION ALL SELECT b FROM uc WHERE ca = cb) GROUP BY node), r AS (SELECT community, pa.node, count(*) OVER (PARTITION BY community) AS size, row_number() OVER (PARTITION BY community ORDER BY coalesce(k, 0) DESC, pa.node) AS rn FROM pa LEFT JOIN i ON pa.node = i.node) SELECT community, size, node FROM r WHERE rn = 1 AND size >= 3")
+query("gr_bridge_candidates", lambda k: (lambda p: graph.outward(k.edges, p).join(graph.centers(k.edges, p).select("node"), "node", "left_anti").join(k.ranks, "node").select("node", F.round("pr", 9).alias("pr")).orderBy(F.desc("pr"), "node").limit(5))(_named(k)), f", {NAMED}, {PR}, i AS (SELECT node, count(*) AS k FROM (SELECT a AS node FROM uc WHERE ca = cb UNION ALL SELECT b FROM uc WHERE ca = cb) GROUP BY node), r AS (SELECT community, pa.node, count(*) OVER (PARTITION BY community) AS size, row_number() OVER (PARTITION BY community ORDER BY coalesce(k, 0) DESC, pa.node) AS rn FROM pa LEFT JOIN i ON pa.node = i.node), o AS (SELECT a AS node FROM uc WHERE ca <> cb UNION SELECT b FROM uc WHERE ca <> cb) SELECT o.node, round(pr, 9) AS pr FROM o JOIN pr ON o.node = pr.node WHERE o.node NOT IN (SELECT node FROM r WHERE rn = 1 AND size >= 3) ORDER BY 2 DESC, 1 LIMIT 5")
+query("win_balanced_quota", lambda k: _quota(k), ", t AS (SELECT layer, CAST(sum(degree) AS BIGINT) AS d FROM deg JOIN nl ON deg.node = nl.node GROUP BY layer), q AS (SELECT layer, 15 + CAST(floor(CAST((150 - 15 * (SELECT count(*) FROM t)) * d AS DOUBLE) / (SELECT sum(d) FROM t)) AS BIGINT) AS quota FROM t), r AS (SELECT nl.layer, deg.node, degree, row_number() OVER (PARTITION BY nl.layer ORDER BY degree DESC, deg.node) AS rn FROM deg JOIN nl ON deg.node = nl.node) SELECT r.layer, node, degree FROM r JOIN q ON r.layer = q.layer WHERE rn <= quota")
+
+
+def _quota(k):
+    known = k.degrees.join(k.node_layers, "node")
+    of_layer = known.groupBy("layer").agg(F.sum("degree").alias("d"))
+    all_ = of_layer.agg(F.sum("d").alias("sum"), F.count("*").alias("n"))
+    quota = of_layer.crossJoin(all_).select("layer", (15 + F.floor((150 - 15 * F.col("n")) * F.col("d") / F.col("sum"))).alias("quota"))
+    ranked = known.withColumn("rn", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("degree"), "node")))
+    return ranked.join(F.broadcast(quota), "layer").where("rn <= quota").select("layer", "node", "degree")  # one row per layer
+
+
+STARTS = "st AS (SELECT DISTINCT src AS start FROM cl WHERE src <> dst AND split = 'holdout' AND src LIKE 'Housing%')"
+query(
+    "gr_bounded_bfs",
+    lambda k: graph.bounded_search(k.edges, k.clean.where("src <> dst AND split = 'holdout' AND src LIKE 'Housing%'").select(F.col("src").alias("start")).distinct(), 4, stored).select("start", "node", "distance"),
+    f", {STARTS}, bo AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), b0 AS (SELECT start, start AS node, 0 AS d FROM st), "
+    + ", ".join(f"b{i} AS (SELECT start, node, min(d) AS d FROM (SELECT * FROM b{i - 1} UNION ALL SELECT start, dst, d + 1 FROM b{i - 1} JOIN bo ON node = src) GROUP BY 1, 2)" for i in range(1, 5))
+    + " SELECT start, node, CAST(d AS INTEGER) AS distance FROM b4",
+)
+query(
+    "gr_neighborhood",
+    lambda k: k.edges.select(F.col("src").alias("node"), F.lit("out").alias("side"), F.col("dst").alias("other"), "rel", F.lit(5).alias("most"), "ordinal").union(k.edges.select("dst", F.lit("in"), "src", "rel", F.lit(3), "ordinal")).withColumn("rank", F.row_number().over(Window.partitionBy("node", "side").orderBy("ordinal", "other"))).where("rank <= most").select("node", "side", "rank", "other", "rel"),
+    ", u AS (SELECT src AS node, 'out' AS side, dst AS other, rel, 5 AS most, ordinal FROM ed UNION ALL SELECT dst, 'in', src, rel, 3, ordinal FROM ed), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY node, side ORDER BY ordinal, other) AS INTEGER) AS rank FROM u) SELECT node, side, rank, other, rel FROM r WHERE rank <= most",
+)
+
+# --- paths ------------------------------------------------------------------------------
+query("gr_path_mine", lambda k: k.paths.select("source", "hops", "path_id", "n_layers"), f", {MINED} SELECT source, hops, path AS path_id, CAST(n_layers AS INTEGER) AS n_layers FROM mined")
+query("lim_source_cap", lambda k: k.paths.groupBy("source").agg(F.count("*").alias("n")), f", {MINED} SELECT source, count(*) AS n FROM mined GROUP BY source")
+query("jn_path_expand", lambda k: graph.expand(k.edges.select(F.array("src", "dst").alias("nodes")), k.edges.select("src", "dst")).select(F.concat_ws(">", "nodes", "dst").alias("path_id")), "SELECT a.src || '>' || a.dst || '>' || b.dst AS path_id FROM ed a JOIN ed b ON a.dst = b.src WHERE b.dst <> a.src AND b.dst <> a.dst")
+query("agg_hop_hist", lambda k: k.paths.groupBy("hops", F.element_at("layers", 1).alias("from_layer"), F.element_at("layers", -1).alias("to_layer")).agg(F.count("*").alias("n")), f", {MINED} SELECT hops, layers[1] AS from_layer, layers[-1] AS to_layer, count(*) AS n FROM mined GROUP BY 1, 2, 3")
+query("smp_layer_pair", lambda k: _pair_sample(k), f", {MINED}, r AS (SELECT layers[1] AS f, list_filter(layers, lambda x: x <> 'unknown')[-1] AS t, path, md5('42:' || path) AS h FROM mined), n AS (SELECT count(*) AS pairs FROM (SELECT DISTINCT f, t FROM r)), s AS (SELECT *, row_number() OVER (PARTITION BY f, t ORDER BY h, path) AS rn FROM r), k AS (SELECT *, rn <= greatest(1, 10000 // (SELECT pairs FROM n)) AS q FROM s), o AS (SELECT path, q, row_number() OVER (PARTITION BY q ORDER BY h, path) AS i FROM k) SELECT path AS path_id FROM o WHERE q OR i <= 10000 - (SELECT count(*) FROM o WHERE q)")
+
+
+def _pair_sample(k, target: int = 10_000):
+    """A quota of paths per pair of first and last layer, the rest filled from what is left, by hash order."""
+    rows = k.paths.select("path_id", F.element_at("layers", 1).alias("f"), F.element_at(F.filter("layers", lambda x: x != "unknown"), -1).alias("t"), F.md5(F.concat(F.lit("42:"), "path_id")).alias("h"))
+    pairs = rows.select("f", "t").distinct().agg(F.count("*").alias("pairs"))
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("f", "t").orderBy("h", "path_id"))).crossJoin(F.broadcast(pairs))  # one row
+    chosen = ranked.withColumn("q", F.col("rn") <= F.greatest(F.lit(1), F.floor(F.lit(target) / F.col("pairs"))))
+    chosen = stored(chosen, "chosen")
+    picked = chosen.where("q").count()
+    rest = chosen.where("NOT q").orderBy("h", "path_id").limit(max(0, target - picked))
+    return chosen.where("q").select("path_id").union(rest.select("path_id"))
+
+
+# --- scores -----------------------------------------------------------------------------
+query("sc_novelty", lambda k: k.scored, f", {SC} SELECT * FROM sc")
+query("sc_null_score", lambda k: _null_walks(k), f", {SC}, rv AS (SELECT path, list_reverse(nodes) AS nodes FROM mined), {scores.novelty_sql('rv', 1, '2')} SELECT path AS path_id, round(score, 6) AS score FROM nov2")
+
+
+def _null_walks(k):
+    """The null's formula over walks that mostly follow no edge: the mined paths backwards."""
+    back = k.paths.select("path_id", F.reverse("nodes").alias("nodes"))
+    return scores.novelty(back, k.edges, k.node_layers, k.degrees, k.ranks, k.severity, missing_edge=1).select("path_id", R6("score").alias("score"))
+
+
+query("agg_score_summary", lambda k: k.scored.agg(F.min("score").alias("low"), F.max("score").alias("high"), R6(F.avg("score")).alias("mean"), R6(F.percentile("score", F.lit(0.5))).alias("median"), F.count_if(F.col("score") > scores.THETA).alias("above")), f", {SC} SELECT min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median, count(*) FILTER (WHERE score > {scores.THETA}) AS above FROM sc")
+query("fn_geo_freq", lambda k: k.paths.select("path_id", F.explode("nodes").alias("node")).join(k.degrees, "node").groupBy("path_id").agg(R6(F.exp(F.avg(F.log1p("degree")))).alias("g")), f", {MINED}, p AS (SELECT path, unnest(nodes) AS node FROM mined) SELECT path AS path_id, round(exp(avg(ln(degree + 1))), 6) AS g FROM p JOIN deg ON p.node = deg.node GROUP BY path")
+query("sc_grey_rhino", lambda k: k.scored.where((F.col("score") > scores.THETA) & (F.col("lf") > 0.6)).select("path_id", "score", "lf"), f", {SC} SELECT path_id, score, lf FROM sc WHERE score > {scores.THETA} AND lf > 0.6")
+STRENGTH = "sg AS (SELECT path, hops, round(avg(cf) * (1 + (hops - 3) * 0.1::DOUBLE), 6) AS strength FROM (SELECT path, hops, unnest(nodes[:-2]) AS a, unnest(nodes[2:]) AS b FROM mined) JOIN ed ON a = src AND b = dst GROUP BY path, hops)"
+
+
+def _strength(k):
+    """path_id, strength: mean confidence of the steps times 1 + (hops - 3) / 10."""
+    steps = k.paths.select("path_id", "hops", F.explode(F.arrays_zip(F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("src"), F.slice("nodes", F.lit(2), F.size("nodes") - 1).alias("dst"))).alias("s")).select("path_id", "hops", F.col("s")["src"].alias("src"), F.col("s")["dst"].alias("dst"))
+    return steps.join(k.edges.select("src", "dst", "cf"), ["src", "dst"]).groupBy("path_id", "hops").agg(F.avg("cf").alias("m")).select("path_id", R6(F.col("m") * (1 + (F.col("hops") - 3) * 0.1)).alias("strength"))
+
+
+query("fn_strength", _strength, f", {MINED}, {STRENGTH} SELECT path AS path_id, strength FROM sg")
+query("sc_grey_zone", lambda k: (lambda s: s.crossJoin(F.broadcast(s.agg(F.percentile("strength", F.lit(0.4)).alias("cut")))).where((F.col("score") > scores.THETA) & (F.col("strength") < F.col("cut"))).select("path_id", "score", "strength"))(k.scored.join(_strength(k), "path_id")), f", {SC}, {STRENGTH}, j AS (SELECT path_id, score, strength FROM sc JOIN sg ON path_id = path) SELECT * FROM j WHERE score > {scores.THETA} AND strength < (SELECT quantile_cont(strength, 0.4) FROM j)")
+query("agg_scatter_caption", lambda k: k.paths.select("path_id", "n_layers").join(k.scored, "path_id").agg(F.count("*").alias("n"), F.count_if(F.col("n_layers") == 2).alias("two"), F.count_if(F.col("n_layers") == 3).alias("three"), F.count_if(F.col("n_layers") == 4).alias("four"), R6(F.avg((F.col("score") > scores.THETA).cast("double"))).alias("high_share"), F.min("score").alias("low"), F.max("score").alias("high")), f", {SC} SELECT count(*) AS n, count(*) FILTER (WHERE n_layers = 2) AS two, count(*) FILTER (WHERE n_layers = 3) AS three, count(*) FILTER (WHERE n_layers = 4) AS four, round(avg(CASE WHEN score > {scores.THETA} THEN 1.0::DOUBLE ELSE 0 END), 6) AS high_share, min(score) AS low, max(score) AS high FROM sc JOIN mined ON path_id = path")
+FLOW = f"fs AS (SELECT m.path, unnest(m.nodes[:-2]) AS a, unnest(m.nodes[2:]) AS b, unnest(m.layers[:-2]) AS la, unnest(m.layers[2:]) AS lb, strength FROM mined m JOIN sg ON m.path = sg.path), fl AS (SELECT {keywords.subcategory_sql('a', 'la')} AS from_sub, {keywords.subcategory_sql('b', 'lb')} AS to_sub, la, lb, strength FROM fs WHERE la <> lb)"
+
+
+def _flow(k):
+    """la, lb, from_sub, to_sub, strength of every cross-layer step of a mined path."""
+    cut = lambda c, i: F.slice(c, F.lit(i), F.size(c) - 1)
+    steps = k.paths.select("path_id", F.explode(F.arrays_zip(cut("nodes", 1).alias("a"), cut("nodes", 2).alias("b"), cut("layers", 1).alias("la"), cut("layers", 2).alias("lb"))).alias("s")).select("path_id", "s.*")
+    steps = steps.where("la <> lb").join(_strength(k), "path_id")
+    return steps.select("la", "lb", keywords.subcategory(F.col("a"), F.col("la")).alias("from_sub"), keywords.subcategory(F.col("b"), F.col("lb")).alias("to_sub"), "strength")
+
+
+query("agg_flow", lambda k: _flow(k).groupBy("from_sub", "to_sub").agg(F.round(F.sum("strength"), 4).alias("flow")), f", {MINED}, {STRENGTH}, {FLOW} SELECT from_sub, to_sub, round(sum(strength), 4) AS flow FROM fl GROUP BY 1, 2")
+query("agg_flow_mediation", lambda k: _flow(k).where("la <> 'unknown' AND lb <> 'unknown'").agg(F.round(F.sum(F.when(F.expr("la = 'physical' AND lb = 'biological'"), F.col("strength"))) / F.sum(F.when(F.expr("la = 'physical' AND lb = 'economic'"), F.col("strength"))), 4).alias("ratio")), f", {MINED}, {STRENGTH}, {FLOW} SELECT round(sum(strength) FILTER (WHERE la = 'physical' AND lb = 'biological') / sum(strength) FILTER (WHERE la = 'physical' AND lb = 'economic'), 4) AS ratio FROM fl")
+query("snk_figures", lambda k: _flow(k).groupBy("la", "lb").agg(F.count("*").alias("steps"), F.round(F.sum("strength"), 4).alias("flow")), f", {MINED}, {STRENGTH}, {FLOW} SELECT la, lb, count(*) AS steps, round(sum(strength), 4) AS flow FROM fl GROUP BY 1, 2")
+
+# --- sweeps -----------------------------------------------------------------------------
+query("st_weight_sweep", lambda k: k.swept.groupBy("combo").agg(F.max("score").alias("high"), R6(F.avg("score")).alias("mean")), f", {SW} SELECT combo, max(score) AS high, round(avg(score), 6) AS mean FROM sw GROUP BY combo")
+query("win_rank_full", lambda k: k.swept.where("rank <= 20").select("combo", "rank", "path_id"), f", {SW} SELECT combo, CAST(rank AS INTEGER) AS rank, path_id FROM sw WHERE rank <= 20")
+query("win_rank_stats", lambda k: k.swept.groupBy("path_id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"), R6(F.avg("rank")).alias("mean"), R6(F.stddev_pop("rank")).alias("std"), R6(F.stddev_pop("rank") / F.avg("rank")).alias("cv"), R6(F.avg((F.col("rank") <= 20).cast("double"))).alias("top20"), R6(F.avg((F.col("rank") <= 50).cast("double"))).alias("top50")), f", {SW} SELECT path_id, CAST(min(rank) AS INTEGER) AS best, CAST(max(rank) AS INTEGER) AS worst, round(avg(rank), 6) AS mean, round(stddev_pop(rank), 6) AS std, round(stddev_pop(rank) / avg(rank), 6) AS cv, round(avg(CASE WHEN rank <= 20 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top20, round(avg(CASE WHEN rank <= 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top50 FROM sw GROUP BY path_id")
+query("st_theta_counts", lambda k: k.swept.groupBy("combo").agg(*[F.count_if(F.col("score") >= t).alias(f"n{round(10 * t)}") for t in scores.THETAS]), f", {SW} SELECT combo, {', '.join(f'count(*) FILTER (WHERE score >= {t}) AS n{round(10 * t)}' for t in scores.THETAS)} FROM sw GROUP BY combo")
+
+
+def _agreement(k):
+    """combo, jaccard of the top 20 and Spearman's rho of the whole ranking, against the default weights."""
+    base = k.swept.where(F.col("combo") == BASE).select("path_id", F.col("rank").alias("base"))
+    both = k.swept.join(base, "path_id").groupBy("combo").agg(F.count_if((F.col("rank") <= 20) & (F.col("base") <= 20)).alias("shared"), F.count_if((F.col("rank") <= 20) | (F.col("base") <= 20)).alias("all"), R6(F.corr(F.col("rank").cast("double"), F.col("base").cast("double"))).alias("rho"))
+    return both.select("combo", F.round(F.col("shared") / F.greatest("all", F.lit(1)), 4).alias("jaccard"), "rho")
+
+
+AGREE = f"{SW}, bs AS (SELECT path_id, rank AS base FROM sw WHERE combo = {BASE}), ac AS (SELECT combo, round(CAST(count(*) FILTER (WHERE rank <= 20 AND base <= 20) AS DOUBLE) / greatest(1, count(*) FILTER (WHERE rank <= 20 OR base <= 20)), 4) AS jaccard, round(corr(CAST(rank AS DOUBLE), CAST(base AS DOUBLE)), 6) AS rho FROM sw JOIN bs ON sw.path_id = bs.path_id GROUP BY combo)"
+query("set_jaccard", lambda k: _agreement(k).select("combo", "jaccard"), f", {AGREE} SELECT combo, jaccard FROM ac")
+query("st_spearman", lambda k: _agreement(k).select("combo", "rho"), f", {AGREE} SELECT combo, rho FROM ac")
+query("st_sweep_summary", lambda k: _agreement(k).agg(R6(F.avg("jaccard")).alias("j_mean"), R6(F.percentile("jaccard", F.lit(0.5))).alias("j_median"), F.min("jaccard").alias("j_low"), F.max("jaccard").alias("j_high"), R6(F.avg("rho")).alias("r_mean"), F.min("rho").alias("r_low")), f", {AGREE} SELECT round(avg(jaccard), 6) AS j_mean, round(quantile_cont(jaccard, 0.5), 6) AS j_median, min(jaccard) AS j_low, max(jaccard) AS j_high, round(avg(rho), 6) AS r_mean, min(rho) AS r_low FROM ac")
+query("st_kendall_w", lambda k: _kendall_w(k), f", {SW}, rs AS (SELECT path_id, sum(rank) AS r FROM sw GROUP BY path_id), c AS (SELECT count(*) AS n, {len(scores.combos())}.0::DOUBLE AS k FROM rs), s AS (SELECT sum((r - k * (n + 1) / 2) * (r - k * (n + 1) / 2)) AS s FROM rs CROSS JOIN c) SELECT round(12 * s / (k * k * (CAST(n AS DOUBLE) * n * n - n)), 6) AS w, round(12 * s / (k * (CAST(n AS DOUBLE) * n + n)), 2) AS chi2 FROM s CROSS JOIN c")
+
+
+def _kendall_w(k):
+    """w = 12 S / (k^2 (n^3 - n)) over k rankings of n paths; chi2 = k (n - 1) w."""
+    sums = k.swept.groupBy("path_id").agg(F.sum("rank").alias("r"))
+    judges = float(len(scores.combos()))
+    n = F.col("n").cast("double")
+    sums = sums.crossJoin(F.broadcast(sums.agg(F.count("*").alias("n"))))  # one row
+    d = F.col("r") - judges * (n + 1) / 2
+    s = sums.agg(F.sum(d * d).alias("s"), F.first("n").alias("n"))
+    return s.select(F.round(12 * F.col("s") / (judges * judges * (n * n * n - n)), 6).alias("w"), F.round(12 * F.col("s") / (judges * (n * n + n)), 2).alias("chi2"))

@@ -1 +1,266 @@
-"""Queries."""
+"""Queries of statistics, entity resolution, questions, evaluation and provenance."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ripplegraph.functions import text
+from ripplegraph.operators import benchmark, control, graph, keywords, layers, provenance, resolve, scores, stats
+from ripplegraph.sources import sinks
+from ripplegraph.streaming import transitions
+
+from . import catalog_graph, catalog_text, catalog_triples
+from .runtime import place, query, stored
+
+R6 = lambda c: F.round(c, 6)
+SC = catalog_graph.SC
+
+# --- two samples ------------------------------------------------------------------------
+PER_PAPER = ", pp AS (SELECT paper_id, count(*) FILTER (WHERE sl = 'physical') AS a, count(*) FILTER (WHERE el = 'economic') AS b FROM cl GROUP BY paper_id), dd AS (SELECT a - b AS d FROM pp WHERE a <> b), rr AS (SELECT d, avg(rn) OVER (PARTITION BY abs(d)) AS r, count(*) OVER (PARTITION BY abs(d)) AS t FROM (SELECT d, row_number() OVER (ORDER BY abs(d)) AS rn FROM dd))"
+query("st_wilcoxon", lambda k: stats.wilcoxon(k.clean.groupBy("paper_id").agg(F.count_if(F.col("sl") == "physical").alias("a"), F.count_if(F.col("el") == "economic").alias("b")), "a", "b").select("n", F.round("w", 1).alias("w"), R6("z").alias("z")), f"{PER_PAPER}, s AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS p, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS m, sum(t * t - 1) AS t FROM rr) SELECT n, round(least(p, m), 1) AS w, round((least(p, m) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - t / 48.0::DOUBLE), 6) AS z FROM s")
+CONTINGENCY = ", ct AS (SELECT split, layer, count(*) AS n FROM (SELECT split, sl AS layer FROM cl UNION ALL SELECT split, el FROM cl) WHERE layer IN (SELECT layer FROM valid) GROUP BY 1, 2)"
+query("st_chi2", lambda k: stats.chi2(k.clean.select("split", F.explode(F.array("sl", "el")).alias("layer")).where(F.col("layer").isin(*layers.LAYERS)).groupBy("split", "layer").agg(F.count("*").alias("n")), "split", "layer").select(F.round("chi2", 6).alias("chi2"), "df"), f"{CONTINGENCY}, e AS (SELECT r.split, c.layer, rn * cn / (SELECT sum(n) FROM ct)::DOUBLE AS e FROM (SELECT split, sum(n) AS rn FROM ct GROUP BY split) r CROSS JOIN (SELECT layer, sum(n) AS cn FROM ct GROUP BY layer) c) SELECT round(sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e), 6) AS chi2, CAST((count(DISTINCT e.split) - 1) * (count(DISTINCT e.layer) - 1) AS INTEGER) AS df FROM e LEFT JOIN ct ON e.split = ct.split AND e.layer = ct.layer")
+query("agg_verdict", lambda k: k.edges.agg(layers.step("physical", "biological").alias("pb"), layers.step("biological", "economic").alias("be"), layers.step("physical", "economic").alias("pe")).select((F.col("pb") + F.col("be") > F.col("pe")).alias("mediated"), (F.col("pb") > 0).alias("direct")), "SELECT count(*) FILTER (WHERE (sl = 'physical' AND el = 'biological') OR (sl = 'biological' AND el = 'economic')) > count(*) FILTER (WHERE sl = 'physical' AND el = 'economic') AS mediated, count(*) FILTER (WHERE sl = 'physical' AND el = 'biological') > 0 AS direct FROM ed")
+
+
+def _per_paper_matrix(k):
+    """paper_id, pb, be, pe by the layers of raw node names."""
+    placed = layers.with_node_layers(k.clean, k.node_layers)
+    return placed.groupBy("paper_id").agg(*[layers.step(a, b, "nsl", "nel").alias(n) for n, a, b in (("pb", "physical", "biological"), ("be", "biological", "economic"), ("pe", "physical", "economic"))])
+
+
+def _bmr(sums: np.ndarray, n: int) -> float:
+    return (sums[0] + sums[1]) / sums[2] if sums[2] > 0 else float("nan")
+
+
+query("st_bootstrap_bmr", lambda k: stats.interval(stats.bootstrap(k.spark, stats.kinds(_per_paper_matrix(k), "pb", "be", "pe"), _bmr, 1000)))
+query("st_bootstrap_mean", lambda k: stats.interval(stats.bootstrap(k.spark, stats.kinds(k.clean.groupBy("paper_id").agg(F.count("*").alias("n")), "n"), lambda s, n: s[0] / n, 10_000)))
+query("smp_bootstrap", lambda k: stats.bootstrap(k.spark, stats.kinds(k.degrees, "degree"), lambda s, n: s[0] / n, 1000))
+query("agg_metric_table", lambda k: k.degrees.agg(F.count("*").cast("double").alias("nodes"), F.avg("degree").alias("mean_degree"), F.max("degree").cast("double").alias("max_degree")).unpivot([], ["nodes", "mean_degree", "max_degree"], "metric", "value").select("metric", R6("value").alias("value")), "SELECT 'nodes' AS metric, CAST(count(*) AS DOUBLE) AS value FROM deg UNION ALL SELECT 'mean_degree', round(avg(degree), 6) FROM deg UNION ALL SELECT 'max_degree', CAST(max(degree) AS DOUBLE) FROM deg")
+query("win_rate_limit", lambda k: control.load_of(k.table("events"), 60, 1), "SELECT event_id, recent, recent > 1 AS over FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS recent FROM events)")
+query("ctl_rate_limit", lambda k: control.load_of(k.table("events"), 3600, 1).groupBy("over").agg(F.count("*").alias("n")), 'SELECT recent > 1 AS "over", count(*) AS n FROM (SELECT count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent FROM events) GROUP BY 1')
+query("ctl_checkpoint", lambda k: (lambda folder, key: (control.finished(k.spark, folder, key, lambda: k.edges), control.finished(k.spark, folder, key, lambda: 1 / 0))[1])(place(k.spark, "finished"), control.fingerprint(k.dir, "edges")).select("src", "dst", "cf"), "SELECT src, dst, cf FROM ed")
+query("ctl_resume", lambda k: control.undone(k.clean.select(F.col("paper_id").alias("id"), "ordinal"), k.clean.where("split = 'holdout'").select(F.col("paper_id").alias("id"))), "SELECT paper_id AS id, ordinal FROM cl WHERE paper_id NOT IN (SELECT paper_id FROM cl WHERE split = 'holdout')")
+query("str_windowed_events", lambda k: transitions.windowed_events(k.table("events")), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+
+# --- agreement --------------------------------------------------------------------------
+KAPPA = "t AS (SELECT x, y, count(*) AS n FROM z GROUP BY 1, 2), s AS (SELECT CAST(sum(n) AS DOUBLE) AS n, coalesce(sum(n) FILTER (WHERE x = y), 0) AS same FROM t), p AS (SELECT sum(nx * ny) AS c FROM (SELECT x, sum(n) AS nx FROM t GROUP BY x) a JOIN (SELECT y, sum(n) AS ny FROM t GROUP BY y) b ON x = y) SELECT CAST(n AS BIGINT) AS n, round((same / n - c / (n * n)) / (1 - c / (n * n)), 6) AS kappa FROM s CROSS JOIN p"
+query("st_kappa", lambda k: stats.kappa(k.table("labels"), "quality", "toxic").select("n", R6("kappa").alias("kappa")), f", z AS (SELECT quality AS x, toxic AS y FROM labels), {KAPPA}")
+
+
+def _judged(k):
+    """layer given and layer by keywords of every node that has both."""
+    return k.node_layers.select("node", "layer", keywords.layer(F.col("node")).alias("guess")).where("guess <> 'unknown'")
+
+
+KW = f", kw AS (SELECT * FROM (SELECT node, layer, {keywords.layer_sql('node')} AS guess FROM nl) WHERE guess <> 'unknown')"
+query("lay_keyword_compare", lambda k: stats.kappa(_judged(k), "layer", "guess").select("n", R6("kappa").alias("kappa")), f"{KW}, z AS (SELECT layer AS x, guess AS y FROM kw), {KAPPA}")
+query("agg_confusion_prf", lambda k: stats.per_class(_judged(k), "layer", "guess", layers.LAYERS).select("label", "tp", "fp", "fn", *[R6(c).alias(c) for c in ("precision", "recall", "f1")]), f"{KW}, c AS (SELECT v.layer AS label, count(*) FILTER (WHERE kw.layer = v.layer AND guess = v.layer) AS tp, count(*) FILTER (WHERE kw.layer <> v.layer AND guess = v.layer) AS fp, count(*) FILTER (WHERE kw.layer = v.layer AND guess <> v.layer) AS fn FROM valid v CROSS JOIN kw GROUP BY 1), d AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS r FROM c) SELECT label, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM d")
+TOPS = f", {catalog_graph.PR}, ta AS (SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS r FROM deg), tb AS (SELECT node, row_number() OVER (ORDER BY round(pr, 9) DESC, node) AS r FROM pr), tu AS (SELECT coalesce(a.node, b.node) AS item, coalesce(a.r, 21) AS a, coalesce(b.r, 21) AS b FROM (SELECT * FROM ta WHERE r <= 20) a FULL JOIN (SELECT * FROM tb WHERE r <= 20) b ON a.node = b.node)"
+
+
+def _tops(k):
+    """item, a, b: places in the top 20 by degree and by rank of their union, 21 where absent."""
+    w = lambda c: Window.orderBy(F.desc(c), "node")  # noqa: E731  over 20 rows
+    a = k.degrees.orderBy(F.desc("degree"), "node").limit(20).select("node", F.row_number().over(w("degree")).alias("a"))
+    b = k.ranks.select("node", F.round("pr", 9).alias("pr")).orderBy(F.desc("pr"), "node").limit(20).select("node", F.row_number().over(w("pr")).alias("b"))
+    return a.join(b, "node", "full").select(F.col("node").alias("item"), F.coalesce("a", F.lit(21)).alias("a"), F.coalesce("b", F.lit(21)).alias("b"))
+
+
+query("st_kendall_tau", lambda k: stats.kendall_tau(_tops(k), "a", "b").select(R6("tau").alias("tau")), f"{TOPS} SELECT round(sum(sign(x.a - y.a) * sign(x.b - y.b)) / sqrt(CAST(sum(abs(sign(x.a - y.a))) AS DOUBLE) * sum(abs(sign(x.b - y.b)))), 6) AS tau FROM tu x JOIN tu y ON x.item < y.item")
+
+# --- the null ---------------------------------------------------------------------------
+PERMS = 200
+
+
+def _null(k):
+    """What random walks over the graph need, broadcast: bounded by graph.MOST_NODES."""
+    names, src, dst = graph._gathered(k.edges)
+    at = {n: i for i, n in enumerate(names)}
+    relation = k.edges.join(k.edges.groupBy("rel").agg(F.count("*").alias("rf")), "rel").select("src", "dst", "rf").toPandas()
+    key = relation["src"].map(at).to_numpy(np.int64) * len(names) + relation["dst"].map(at).to_numpy(np.int64)
+    order = np.argsort(key)
+    facts = k.degrees.join(k.ranks, "node").join(k.severity, "node").join(k.node_layers, "node", "left").toPandas().set_index("node").reindex(names)
+    layer = facts["layer"].map({x: i for i, x in enumerate(layers.LAYERS)}).fillna(-1).to_numpy(np.int64)
+    model = scores.Null(names, graph.Adjacency(len(names), src, dst), (key[order], relation["rf"].to_numpy(float)[order]), facts["degree"].to_numpy(float), layer, (facts["pr"] * facts["severity"]).to_numpy(float), (float(facts["degree"].max()), float(facts["pr"].max())))
+    return k.spark.sparkContext.broadcast(model)
+
+
+def _permuted(k):
+    numbered = k.scored.join(k.paths.select("path_id", F.size("nodes").alias("length")), "path_id").select("path_id", "score", "length", F.pmod(F.xxhash64("path_id"), F.lit(1 << 40)).alias("at"))
+    return stored(scores.permute(numbered, _null(k), PERMS, 8), "permuted")
+
+
+query("st_permutation", lambda k: scores.benjamini_hochberg(scores.per_path(_permuted(k), PERMS)).select("path_id", "exceed", R6("p").alias("p"), "significant"))
+query("gr_random_walk", lambda k: scores.per_permutation(_permuted(k)).select("perm", "n", R6(F.col("total") / F.col("n")).alias("mean"), R6("top").alias("top")))
+P = "pv AS (SELECT path_id, score, round(1 - score, 6) AS p FROM sc)"
+query("win_fdr_bh", lambda k: scores.benjamini_hochberg(k.scored.select("path_id", F.round(1 - F.col("score"), 6).alias("p")), 0.6), f", {SC}, {P}, o AS (SELECT *, row_number() OVER (ORDER BY p, path_id) AS r, count(*) OVER () AS m FROM pv), u AS (SELECT max(p) AS cut FROM o WHERE p <= r / CAST(m AS DOUBLE) * 0.6) SELECT path_id, p, coalesce(p <= (SELECT cut FROM u), FALSE) AS significant FROM pv")
+query("st_top_p", lambda k: k.scored.orderBy(F.desc("score"), "path_id").limit(20).select("path_id", "score", F.round(1 - F.col("score"), 6).alias("p")), f", {SC}, {P} SELECT path_id, score, p FROM pv ORDER BY score DESC, path_id LIMIT 20")
+query("st_p_percentiles", lambda k: k.scored.select(F.percentile(1 - F.col("score"), F.array(*map(F.lit, (0.0, 0.05, 0.25, 0.5, 0.75, 1.0)))).alias("q")).select(*[R6(F.col("q")[i]).alias(n) for i, n in enumerate(("low", "p5", "p25", "median", "p75", "high"))]), f", {SC} SELECT " + ", ".join(f"round(quantile_cont(1 - score, {q}), 6) AS {n}" for q, n in ((0.0, "low"), (0.05, "p5"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (1.0, "high"))) + " FROM sc")
+NULLS = f"{SC}, rv AS (SELECT path, list_reverse(nodes) AS nodes FROM mined), {scores.novelty_sql('rv', 1, '2')}, nu AS (SELECT path, round(score, 6) AS score FROM nov2)"
+query("st_mannwhitney", lambda k: _mann_whitney(k), f", {NULLS}, a AS (SELECT score, 1 AS g FROM sc UNION ALL SELECT score, 0 FROM nu), r AS (SELECT g, avg(rn) OVER (PARTITION BY score) AS r FROM (SELECT *, row_number() OVER (ORDER BY score) AS rn FROM a)), s AS (SELECT sum(r) FILTER (WHERE g = 1) AS rs, CAST(count(*) FILTER (WHERE g = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE g = 0) AS DOUBLE) AS n2 FROM r) SELECT round(rs - n1 * (n1 + 1) / 2, 1) AS u, round(1 - 2 * (rs - n1 * (n1 + 1) / 2) / (n1 * n2), 6) AS r FROM s")
+
+
+def _mann_whitney(k):
+    """u of the paths' scores over those of their reversals, and r = 1 - 2 u / (n1 n2)."""
+    both = k.scored.select("score", F.lit(1).alias("g")).union(catalog_graph._null_walks(k).select("score", F.lit(0)))
+    s = stats.mid_ranks(both, "score").agg(F.sum(F.when(F.col("g") == 1, F.col("rank"))).alias("rs"), F.count_if(F.col("g") == 1).cast("double").alias("n1"), F.count_if(F.col("g") == 0).cast("double").alias("n2"))
+    u = F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2
+    return s.select(F.round(u, 1).alias("u"), R6(1 - 2 * u / (F.col("n1") * F.col("n2"))).alias("r"))
+
+
+query("st_quantile_exceed", lambda k: (lambda top: top.crossJoin(F.broadcast(k.paths.select("path_id", "source").join(catalog_graph._null_walks(k), "path_id").groupBy("source").agg(F.max("score").alias("high")).groupBy("high").agg(F.count("*").alias("c")))).groupBy("place", "score").agg(F.sum(F.when(F.col("high") >= F.col("score"), F.col("c")).otherwise(0)).alias("above")))(k.scored.orderBy(F.desc("score"), "path_id").limit(100).select(F.row_number().over(Window.orderBy(F.desc("score"), "path_id")).alias("place"), "score").where("place IN (1, 10, 20, 50, 100)")), f", {NULLS}, hi AS (SELECT source, max(nu.score) AS high FROM mined JOIN nu ON mined.path = nu.path GROUP BY source), tp AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, path_id) AS INTEGER) AS place, score FROM sc) SELECT place, score, (SELECT count(*) FROM hi WHERE high >= score) AS above FROM tp WHERE place IN (1, 10, 20, 50, 100)")
+BIN = " ".join(f"WHEN score >= {a} AND score < {b} THEN {i}" for i, (a, b) in enumerate(zip(scores.BINS, scores.BINS[1:])))
+query("st_bin_fdr", lambda k: k.scored.select("score", F.lit(1).alias("g")).union(catalog_graph._null_walks(k).select("score", F.lit(0))).select(F.expr(f"CASE {BIN} END").alias("bin"), "g").where("bin IS NOT NULL").groupBy("bin").agg(F.count_if(F.col("g") == 1).alias("actual"), F.count_if(F.col("g") == 0).alias("expected")).withColumn("fdr", F.round(F.when(F.col("actual") > 0, F.least(F.lit(1.0), F.col("expected") / F.greatest("actual", F.lit(1)))).otherwise(0.0), 4)), f", {NULLS}, b AS (SELECT CASE {BIN} END AS bin, g FROM (SELECT score, 1 AS g FROM sc UNION ALL SELECT score, 0 FROM nu)) SELECT bin, count(*) FILTER (WHERE g = 1) AS actual, count(*) FILTER (WHERE g = 0) AS expected, round(CASE WHEN count(*) FILTER (WHERE g = 1) > 0 THEN least(1, count(*) FILTER (WHERE g = 0) / CAST(count(*) FILTER (WHERE g = 1) AS DOUBLE)) ELSE 0 END, 4) AS fdr FROM b WHERE bin IS NOT NULL GROUP BY bin")
+
+# --- vectors ----------------------------------------------------------------------------
+VE = ", ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+KNN = f"{VE}, kn AS (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.v, b.v), 9) AS sim, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.vec_id) AS INTEGER) AS rank FROM ve a CROSS JOIN ve b) WHERE rank <= 50)"
+query("vec_knn", lambda k: k.neighbours.select("src", "dst", "rank", R6("sim").alias("sim")), f"{KNN} SELECT src, dst, rank, round(sim, 6) AS sim FROM kn")
+query("jn_knn_topk", lambda k: k.neighbours.where("rank <= 5").select("src", "dst", "rank"), f"{KNN} SELECT src, dst, rank FROM kn WHERE rank <= 5")
+query("fn_cosine", lambda k: k.neighbours.where("rank <= 5").select("src", "dst").join(k.table("embeddings").select(F.col("vec_id").alias("src"), F.col("embedding").alias("a")), "src").join(k.table("embeddings").select(F.col("vec_id").alias("dst"), F.col("embedding").alias("b")), "dst").select("src", "dst", F.greatest(F.lit(0.0), R6(1 - resolve.dot("a", "b"))).alias("d")), f"{KNN} SELECT src, dst, greatest(0, round(1 - sim, 6)) AS d FROM kn WHERE rank <= 5")
+query("fn_l2norm", lambda k: k.table("embeddings").select("vec_id", R6(F.element_at(resolve.normalise("embedding"), 1)).alias("first")), f"{VE} SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM ve")
+query("fn_round", lambda k: k.ranks.select("node", F.round("pr", 4).alias("four"), R6("pr").alias("six")), f", {catalog_graph.PR} SELECT node, round(pr, 4) AS four, round(pr, 6) AS six FROM pr")
+CENTROID = f"{VE}, lm AS (SELECT label, min(vec_id) AS canonical FROM ve GROUP BY label), ce AS (SELECT canonical, pos, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS pos FROM ve) JOIN lm USING (label) GROUP BY 1, 2), cn AS (SELECT canonical, list(m ORDER BY pos) AS m FROM ce GROUP BY canonical), cv AS (SELECT canonical, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM cn)"
+
+
+def _centroids(k):
+    """One centroid per label, named by its smallest vector."""
+    names = k.table("embeddings").groupBy("label").agg(F.min("vec_id").alias("canonical"))
+    mapping = k.table("embeddings").join(names, "label").select(F.col("vec_id").alias("entity"), "canonical")
+    return resolve.centroids(k.table("embeddings"), mapping)
+
+
+query("agg_centroid", lambda k: _centroids(k).select("id", R6(F.element_at("v", 1)).alias("first"), R6(F.element_at("v", -1)).alias("last")), f"{CENTROID} SELECT canonical AS id, round(v[1], 6) AS first, round(v[-1], 6) AS last FROM cv")
+query("jn_threshold_link", lambda k: resolve.link(k.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), _centroids(k), 0.1).select("id", "target", R6("sim").alias("sim")), f"{CENTROID}, l AS (SELECT vec_id AS id, canonical AS target, round(list_dot_product(ve.v, cv.v), 9) AS sim FROM ve CROSS JOIN cv), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, target) AS rn FROM l) SELECT id, target, round(sim, 6) AS sim FROM m WHERE rn = 1 AND sim >= 0.1")
+query("er_link", lambda k: resolve.link(k.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), _centroids(k)).select("id", "target"), f"{CENTROID}, l AS (SELECT vec_id AS id, canonical AS target, round(list_dot_product(ve.v, cv.v), 9) AS sim FROM ve CROSS JOIN cv), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, target) AS rn FROM l) SELECT id, target FROM m WHERE rn = 1 AND sim >= 0.82")
+MARGIN = f"{KNN}, mp AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM kn WHERE src <> dst AND 1 - sim >= 0.6 AND 1 - sim < 0.62)"
+query("jn_margin_range", lambda k: resolve.margin_pairs(k.neighbours, k.no_mapping, 0.6), f"{MARGIN} SELECT a, b FROM mp")
+query("er_under_merge", lambda k: resolve.yes_rate(_by_label(k, resolve.margin_pairs(k.neighbours, k.no_mapping, 0.6))), f"{MARGIN}, j AS (SELECT x.label = y.label AS same FROM mp JOIN ve x ON a = x.vec_id JOIN ve y ON b = y.vec_id) SELECT count(*) FILTER (WHERE same) AS yes, count(*) FILTER (WHERE NOT same) AS no, CAST(0 AS BIGINT) AS invalid, round(count(*) FILTER (WHERE same) / CAST(count(*) AS DOUBLE), 6) AS rate FROM j")
+
+
+def _by_label(k, pairs):
+    """A stub judge: YES if two vectors have a label in common."""
+    e = k.table("embeddings")
+    joined = pairs.join(e.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b")
+    return joined.select(F.when(F.col("la") == F.col("lb"), "YES").otherwise("NO").alias("answer"))
+
+
+query("er_precision", lambda k: resolve.yes_rate(resolve.group_pairs(catalog_triples._mapping(k)).join(k.degrees.select(F.col("node").alias("a"), F.col("outdeg").alias("x")), "a").join(k.degrees.select(F.col("node").alias("b"), F.col("outdeg").alias("y")), "b").select(F.when(F.col("x") == F.col("y"), "YES").otherwise("NO").alias("answer"))), f", m AS (SELECT * FROM ({catalog_triples.MAP})), j AS (SELECT x.outdeg = y.outdeg AS same FROM m a JOIN m b ON a.canonical = b.canonical AND a.entity < b.entity JOIN deg x ON a.entity = x.node JOIN deg y ON b.entity = y.node) SELECT count(*) FILTER (WHERE same) AS yes, count(*) FILTER (WHERE NOT same) AS no, CAST(0 AS BIGINT) AS invalid, round(count(*) FILTER (WHERE same) / CAST(count(*) AS DOUBLE), 6) AS rate FROM j")
+query("er_greedy_round", lambda k: resolve.greedy_merge(k.neighbours, 0.65, stored))
+query("er_multi_round", lambda k: resolve.multi_round(k.table("embeddings"), 0.65, 3, 50, stored))
+query("er_stability", lambda k: _stability(k))
+
+
+def _stability(k):
+    """Per threshold: merged vectors and groups."""
+    out = None
+    for t in (0.5, 0.55, 0.6, 0.65, 0.7):
+        one = resolve.merge_stats(resolve.greedy_merge(k.neighbours, t, stored)).select(F.lit(t).alias("threshold"), "groups", "merged")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- questions --------------------------------------------------------------------------
+HOLD = "ho AS (SELECT src, dst, max(ordinal) AS ordinal FROM cl WHERE src <> dst AND split = 'holdout' GROUP BY 1, 2), ke AS (SELECT DISTINCT src, dst FROM cl WHERE src <> dst AND split = 'kg'), kno AS (SELECT src AS node FROM ke UNION SELECT dst FROM ke), hb AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ordinal, dst) AS rn FROM ho) WHERE rn <= 50), hs AS (SELECT hb.src, hb.dst, CASE WHEN ke.src IS NULL THEN 0 ELSE 1 END AS k FROM hb LEFT JOIN ke ON hb.src = ke.src AND hb.dst = ke.dst WHERE hb.src IN (SELECT node FROM kno) AND hb.dst IN (SELECT node FROM kno)), n1 AS (SELECT [src, dst] AS nodes, k AS n FROM hs), " + ", ".join(f"n{i} AS (SELECT list_append(nodes, dst) AS nodes, n + k AS n FROM n{i - 1} JOIN hs ON nodes[-1] = src WHERE NOT list_contains(nodes, dst))" for i in (2, 3, 4))
+query("lim_branch", lambda k: benchmark.branches(k.edges, 50).select("src", "dst"), "SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ordinal, dst) AS r FROM ed) WHERE r <= 50")
+query("gr_nhop_novel", lambda k: _all_novel(k), f", {HOLD} SELECT array_to_string(nodes, '>') AS path_id, CAST(len(nodes) - 1 AS INTEGER) AS hops FROM (SELECT * FROM n2 UNION ALL SELECT * FROM n3 UNION ALL SELECT * FROM n4) WHERE n > 0 AND n < len(nodes) - 1")
+query("lim_max_paths", lambda k: benchmark.novel_paths(k.halves[0], k.halves[1], 3, stored, most=5000).select("path_id", "n_known"), f", {HOLD} SELECT array_to_string(nodes, '>') AS path_id, n AS n_known FROM n3 WHERE n > 0 AND n < 3 ORDER BY 1 LIMIT 5000")
+
+
+def _all_novel(k):
+    out = None
+    for hops in (2, 3, 4):
+        one = k.novel(hops).select("path_id", F.lit(hops).alias("hops"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+Q2 = f"{HOLD}, q2 AS (SELECT array_to_string(nodes, '>') AS path_id, nodes FROM n2 WHERE n > 0 AND n < 2), bo AS (SELECT src, dst FROM ke UNION SELECT dst, src FROM ke), wk AS (SELECT path_id, dst, row_number() OVER (PARTITION BY path_id ORDER BY md5('42|' || path_id || '|' || dst), dst) AS rn FROM q2 JOIN bo ON nodes[1] = src WHERE NOT list_contains(nodes, dst) AND NOT EXISTS (SELECT 1 FROM bo y WHERE y.src = bo.dst AND y.dst = nodes[-1]))"
+query("gr_distractor_walk", lambda k: benchmark.walk_candidates(k.novel(2), k.halves[1], 1).select("path_id", F.concat_ws(">", "seq").alias("seq")), f", {Q2} SELECT path_id, dst AS seq FROM wk WHERE rn <= 8")
+PICK = "dp AS (SELECT path_id, list(dst ORDER BY h, dst)[1:3] AS d FROM (SELECT path_id, dst, md5('42|' || path_id || '|' || dst) AS h FROM wk WHERE rn <= 8) GROUP BY path_id)"
+query("set_overlap_guard", lambda k: k.distractors.select("path_id", F.concat_ws("|", F.transform("seqs", lambda s: F.concat_ws(">", s))).alias("picked")), f", {Q2}, {PICK} SELECT path_id, array_to_string(d, '|') AS picked FROM dp")
+MCQ = f"{Q2}, {PICK}, sl AS (SELECT path_id, (row_number() OVER (ORDER BY path_id) - 1) % 4 AS slot FROM q2), mq AS (SELECT q2.path_id AS id, slot, list_concat(list_concat(d[1:slot], [nodes[2]]), d[slot + 1:3]) AS opts, {catalog_text.readable_sql('nodes[1]')} AS s, {catalog_text.readable_sql('nodes[-1]')} AS e FROM q2 JOIN dp ON q2.path_id = dp.path_id JOIN sl ON q2.path_id = sl.path_id WHERE len(d) = 3), mt AS (SELECT id, substr('ABCD', slot + 1, 1) AS answer, 'Which step leads from ' || s || ' to ' || e || '?' AS question, 'A. ' || {catalog_text.readable_sql('opts[1]')} || chr(10) || 'B. ' || {catalog_text.readable_sql('opts[2]')} || chr(10) || 'C. ' || {catalog_text.readable_sql('opts[3]')} || chr(10) || 'D. ' || {catalog_text.readable_sql('opts[4]')} AS lines FROM mq)"
+query("mcq_build", lambda k: k.questions.select("id", "hop_count", "question", "answer"), f", {MCQ} SELECT id, CAST(2 AS INTEGER) AS hop_count, question, answer FROM mt")
+query("fn_mcq_text", lambda k: k.questions.select("id", benchmark.question_text(F.col("question"), F.col("options")).alias("text")), f", {MCQ} SELECT id, question || chr(10) || lines AS text FROM mt")
+query("agg_answer_dist", lambda k: k.questions.groupBy("hop_count", "answer").agg(F.count("*").alias("n")), f", {MCQ} SELECT CAST(2 AS INTEGER) AS hop_count, answer, count(*) AS n FROM mt GROUP BY answer")
+
+
+def _evidence(k):
+    """id, label, entity, line: how each option's entity is reached from the question's start."""
+    options = k.questions.select("id", F.explode("options").alias("o")).select("id", F.col("o.label").alias("label"), F.explode("o.entities").alias("node"), F.element_at(F.split("id", ">"), 1).alias("start"))
+    reach = graph.bounded_search(k.halves[1], options.select("start").distinct(), 4, stored).select("start", "node", "distance")
+    return options.join(reach, ["start", "node"], "left").select("id", "label", F.col("node").alias("entity"), benchmark.evidence(F.col("distance"), "Start").alias("line"))
+
+
+query("gr_evidence", _evidence, f", {MCQ}, op AS (SELECT id, unnest(['A', 'B', 'C', 'D']) AS label, unnest(opts) AS node, string_split(id, '>')[1] AS start FROM mq), b0 AS (SELECT DISTINCT start, start AS node, 0 AS d FROM op), " + ", ".join(f"b{i} AS (SELECT start, node, min(d) AS d FROM (SELECT * FROM b{i - 1} UNION ALL SELECT start, dst, d + 1 FROM b{i - 1} JOIN bo ON node = src) GROUP BY 1, 2)" for i in range(1, 5)) + " SELECT id, label, op.node AS entity, CASE WHEN d IS NULL THEN 'Start: no path (>4 steps)' WHEN d = 1 THEN 'Start: DIRECT' WHEN d <= 3 THEN 'Start: ' || d || ' steps' ELSE '' END AS line FROM op LEFT JOIN b4 ON op.start = b4.start AND op.node = b4.node")
+query("fn_path_text", lambda k: benchmark.path_text(k.paths, k.edges), f", {catalog_graph.MINED}, st AS (SELECT path, unnest(nodes) AS node, unnest(range(len(nodes))) AS i FROM mined), sn AS (SELECT *, lead(node) OVER (PARTITION BY path ORDER BY i) AS nx FROM st) SELECT path AS path_id, string_agg({catalog_text.readable_sql('node')} || CASE WHEN nx IS NULL THEN '' WHEN a.rel IS NOT NULL THEN ' -[' || a.rel || ']->' WHEN b.rel IS NOT NULL THEN ' <-[' || b.rel || ']-' ELSE ' -->' END, ' ' ORDER BY i) AS text FROM sn LEFT JOIN ed a ON node = a.src AND nx = a.dst LEFT JOIN ed b ON node = b.dst AND nx = b.src GROUP BY path")
+
+# --- evaluation -------------------------------------------------------------------------
+EV = ", ev AS (SELECT o_orderkey AS id, CAST(o_orderkey % 4 + 1 AS INTEGER) AS hop_count, chr(CAST(65 + o_custkey % 4 AS INTEGER)) AS expected, CASE WHEN o_custkey % 31 = 0 THEN 'X' WHEN o_orderstatus = 'F' THEN chr(CAST(65 + o_custkey % 4 AS INTEGER)) ELSE chr(CAST(65 + o_orderkey % 4 AS INTEGER)) END AS pa, CASE WHEN o_custkey % 37 = 0 THEN 'X' WHEN o_orderstatus IN ('F', 'P') THEN chr(CAST(65 + o_custkey % 4 AS INTEGER)) ELSE chr(CAST(65 + (o_orderkey + o_custkey) % 4 AS INTEGER)) END AS pb FROM orders)"
+
+
+def _records(k, mode):
+    return k.evaluated.select("id", "hop_count", "expected", F.col(mode).alias("predicted"))
+
+
+query("agg_accuracy", lambda k: stats.accuracy(_records(k, "pa"), "hop_count"), f"{EV} SELECT hop_count, count(*) AS total, count(*) FILTER (WHERE pa = expected) AS correct, count(*) FILTER (WHERE pa = 'X') AS failed, round(100.0::DOUBLE * count(*) FILTER (WHERE pa = expected) / count(*) FILTER (WHERE pa <> 'X'), 2) AS accuracy FROM ev GROUP BY hop_count")
+query("jn_paired_eval", lambda k: _records(k, "pa").join(_records(k, "pb").select("id", F.col("predicted").alias("other")), "id").select("id", (F.col("predicted") == F.col("expected")).alias("a"), (F.col("other") == F.col("expected")).alias("b")), f"{EV} SELECT id, pa = expected AS a, pb = expected AS b FROM ev")
+query("st_mcnemar", lambda k: stats.mcnemar(k.evaluated.select((F.col("pa") == F.col("expected")).alias("a"), (F.col("pb") == F.col("expected")).alias("b"))).select("n10", "n01", R6("chi2").alias("chi2")), f"{EV}, c AS (SELECT count(*) FILTER (WHERE pa = expected AND pb <> expected) AS n10, count(*) FILTER (WHERE pa <> expected AND pb = expected) AS n01 FROM ev) SELECT n10, n01, round((abs(n10 - n01) - 1) * (abs(n10 - n01) - 1) / CAST(n10 + n01 AS DOUBLE), 6) AS chi2 FROM c")
+query("agg_delta", lambda k: stats.accuracy(_records(k, "pb")).select(F.col("accuracy").alias("b")).crossJoin(stats.accuracy(_records(k, "pa")).select(F.col("accuracy").alias("a"))).select(F.format_string("%+.1f%%", F.col("b") - F.col("a")).alias("delta")), f"{EV} SELECT printf('%+.1f%%', round(100.0::DOUBLE * count(*) FILTER (WHERE pb = expected) / count(*) FILTER (WHERE pb <> 'X'), 2) - round(100.0::DOUBLE * count(*) FILTER (WHERE pa = expected) / count(*) FILTER (WHERE pa <> 'X'), 2)) AS delta FROM ev")
+
+
+def _hits(k):
+    """Rows by what they add: right (of the two), failed."""
+    e = F.col("expected")
+    return k.evaluated.select((F.col("pa") == e).cast("int").alias("a"), (F.col("pb") == e).cast("int").alias("b"), (F.col("pa") == "X").cast("int").alias("x"))
+
+
+query("st_bootstrap_acc", lambda k: stats.interval(stats.bootstrap(k.spark, stats.kinds(_hits(k), "a", "x"), lambda s, n: 100 * s[0] / max(1, n - s[1]), 2000)))
+query("st_paired_delta", lambda k: stats.interval(stats.bootstrap(k.spark, stats.kinds(_hits(k), "a", "b"), lambda s, n: 100 * (s[1] - s[0]) / n, 2000)))
+query("snk_markdown_table", lambda k: k.spark.createDataFrame([(i, x) for i, x in enumerate(sinks.markdown_table(stats.accuracy(_records(k, "pa"), "hop_count").orderBy("hop_count")).split("\n"))], "line int, text string"))
+query("snk_json_report", lambda k: k.spark.createDataFrame([(sinks.json_report({"bmr": layers.mediation(k.edges), "layers": layers.transitions(k.edges).orderBy("start_layer", "end_layer")}),)], "report string"))
+
+# --- provenance -------------------------------------------------------------------------
+SU = ", su AS (SELECT src, dst, count(DISTINCT paper_id) AS papers, arg_max({'ev': ev, 'p': paper_id, 'rel': rel}, (length(ev), -ordinal)) AS best, arg_min({'sl': sl, 'el': el}, ordinal) AS first FROM cl WHERE src <> dst GROUP BY src, dst)"
+
+
+def _support(k):
+    return provenance.support(k.clean.where("src <> dst"))
+
+
+TOP20 = "t20 AS (SELECT path_id, row_number() OVER (ORDER BY score DESC, path_id) AS place FROM sc ORDER BY score DESC, path_id LIMIT 20), ts AS (SELECT path_id, place, unnest(nodes[:-2]) AS a, unnest(nodes[2:]) AS b, unnest(range(1, len(nodes))) AS step FROM t20 JOIN mined ON path_id = path)"
+
+
+def _audit(k):
+    """Every step of the 20 best paths: papers, best evidence, shift of layers."""
+    best = k.scored.orderBy(F.desc("score"), "path_id").limit(20)
+    rows = provenance.looked_up(provenance.steps(k.paths.join(best.select("path_id"), "path_id", "left_semi")), _support(k))
+    for side in ("src", "dst"):
+        rows = rows.join(k.node_layers.select(F.col("node").alias(side), F.col("layer").alias(f"{side}_layer")), side, "left")
+    short = lambda c: F.coalesce(F.upper(F.substring(c, 1, 1)), F.lit("?"))
+    return rows.select("path_id", "step", "src", "dst", F.coalesce("papers", F.lit(0)).alias("papers"), F.concat(short("src_layer"), F.lit(">"), short("dst_layer")).alias("shift"), text.truncate(F.col("best")["ev"], 110).alias("evidence"), F.col("best")["paper_id"].alias("paper_id"))
+
+
+AUDIT = (
+    ", sn AS (SELECT src, dst, count(DISTINCT paper_id) AS papers FROM cl WHERE src <> dst GROUP BY src, dst), sb AS (SELECT src, dst, ev, paper_id FROM (SELECT src, dst, ev, paper_id, row_number() OVER (PARTITION BY src, dst ORDER BY length(ev) DESC, ordinal) AS rn FROM cl WHERE src <> dst) WHERE rn = 1), "
+    "su AS (SELECT sn.src, sn.dst, papers, ev, paper_id FROM sn JOIN sb ON sn.src = sb.src AND sn.dst = sb.dst)"
+)
+query("prov_path_audit", _audit, f"{AUDIT}, {SC}, {TOP20} SELECT path_id, CAST(step AS INTEGER) AS step, a AS src, b AS dst, coalesce(su.papers, r.papers, 0) AS papers, coalesce(upper(substr(x.layer, 1, 1)), '?') || '>' || coalesce(upper(substr(y.layer, 1, 1)), '?') AS shift, CASE WHEN length(coalesce(su.ev, r.ev)) <= 110 THEN coalesce(su.ev, r.ev) ELSE substr(coalesce(su.ev, r.ev), 1, 107) || '...' END AS evidence, coalesce(su.paper_id, r.paper_id) AS paper_id FROM ts LEFT JOIN su ON a = su.src AND b = su.dst LEFT JOIN su r ON a = r.dst AND b = r.src LEFT JOIN nl x ON a = x.node LEFT JOIN nl y ON b = y.node")
+query("snk_latex_audit", lambda k: _audit(k).select("path_id", "step", F.concat_ws(" & ", F.col("step").cast("string"), F.concat(text.latex(F.col("src")), F.lit(" $\\rightarrow$ "), text.latex(F.col("dst"))), "shift", F.col("papers").cast("string"), text.latex(F.col("evidence")), text.latex(F.col("paper_id"))).alias("row")))
+query("agg_coverage", lambda k: provenance.coverage(k.paths, _support(k)), f"{SU}, {catalog_graph.MINED}, s AS (SELECT path, unnest(nodes[:-2]) AS a, unnest(nodes[2:]) AS b FROM mined), c AS (SELECT path, count(*) AS n, count(coalesce(su.papers, r.papers)) AS c FROM s LEFT JOIN su ON a = su.src AND b = su.dst LEFT JOIN su r ON a = r.dst AND b = r.src GROUP BY path) SELECT count(*) AS paths, CAST(sum(n) AS BIGINT) AS edges, CAST(sum(c) AS BIGINT) AS covered, round(100.0::DOUBLE * sum(c) / sum(n), 2) AS edge_pct, round(100 * avg(CASE WHEN n = c THEN 1.0::DOUBLE ELSE 0 END), 2) AS full_pct FROM c")
+BUSY = "bu AS (SELECT ed.src, ed.dst, papers, first, row_number() OVER (ORDER BY x.degree + y.degree DESC, ed.src, ed.dst) AS place FROM ed JOIN su ON ed.src = su.src AND ed.dst = su.dst JOIN deg x ON ed.src = x.node JOIN deg y ON ed.dst = y.node)"
+
+
+def _busiest(k, n: int = 500):
+    """The n edges whose ends have most neighbours, with their support."""
+    d = k.degrees.select("node", "degree")
+    joined = _support(k).join(d.select(F.col("node").alias("src"), F.col("degree").alias("a")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("b")), "dst")
+    return joined.orderBy(F.desc(F.col("a") + F.col("b")), "src", "dst").limit(n)
+
+
+query("agg_enrichment", lambda k: _busiest(k).agg(F.avg((F.col("papers") >= 2).cast("double")).alias("top")).crossJoin(_support(k).agg(F.avg((F.col("papers") >= 2).cast("double")).alias("every"))).select(R6("top").alias("top"), R6("every").alias("every"), R6(F.col("top") / F.col("every")).alias("ratio")), f"{SU}, {BUSY}, a AS (SELECT avg(CASE WHEN papers >= 2 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE place <= 500) AS top, avg(CASE WHEN papers >= 2 THEN 1.0::DOUBLE ELSE 0 END) AS every FROM bu) SELECT round(top, 6) AS top, round(every, 6) AS every, round(top / every, 6) AS ratio FROM a")
+query("agg_top_edge_profile", lambda k: _busiest(k).agg(F.count_if(F.col("papers") > 0).alias("traced"), F.count_if(F.col("papers") >= 2).alias("several"), F.count_if(F.col("first")["sl"] != F.col("first")["el"]).alias("crossing")), f"{SU}, {BUSY} SELECT count(*) AS traced, count(*) FILTER (WHERE papers >= 2) AS several, count(*) FILTER (WHERE first.sl <> first.el) AS crossing FROM bu WHERE place <= 500")
+query("prov_showcase", lambda k: provenance.showcase(k.edges, k.node_layers, _support(k), graph.betweenness(k.edges, 8, pivots=500, of_edges=True)).select("src", "dst", "papers", R6("score").alias("score")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import layers, resolve, triples
+from ripplegraph.operators import keywords, layers, resolve, triples
 
-from .runtime import query
+from .runtime import query, with_ordinal
 
 R6 = lambda c: F.round(c, 6)
 
@@ -19,7 +19,7 @@ query("flt_no_self_loop", lambda k: k.clean.where("src <> dst").select("ordinal"
 query("flt_cross_layer", lambda k: k.clean.where(layers.cross(F.col("sl"), F.col("el"))).select("ordinal", "sl", "el"), "SELECT ordinal, sl, el FROM cl WHERE sl <> el AND sl IN (SELECT layer FROM valid) AND el IN (SELECT layer FROM valid)")
 query("flt_directional", lambda k: k.clean.groupBy("paper_id").agg(layers.step("physical", "biological").alias("n")), "SELECT paper_id, count(*) FILTER (WHERE sl = 'physical' AND el = 'biological') AS n FROM cl GROUP BY paper_id")
 query("flt_temporal_split", lambda k: k.kg.select("ordinal", triples.temporal_split(F.col("year"), 2000).alias("split")), "SELECT ordinal, CASE WHEN year <= 2000 THEN 'kg' ELSE 'holdout' END AS split FROM kg")
-query("flt_resume", lambda k: k.clean.join(k.clean.where("ordinal % 3 = 0").select("paper_id").distinct(), "paper_id", "left_anti").select("ordinal", "paper_id"), "SELECT ordinal, paper_id FROM cl WHERE paper_id NOT IN (SELECT paper_id FROM cl WHERE ordinal % 3 = 0)")
+query("flt_resume", lambda k: k.clean.join(k.clean.where("split = 'holdout'").select("paper_id").distinct(), "paper_id", "left_anti").select("ordinal", "paper_id"), "SELECT ordinal, paper_id FROM cl WHERE paper_id NOT IN (SELECT paper_id FROM cl WHERE split = 'holdout')")
 query("flt_touching", lambda k: triples.touching(k.clean, k.node_layers.where("node LIKE 'Heat%'").select(F.col("node").alias("entity"))).select("ordinal", "src", "dst"), "SELECT ordinal, src, dst FROM cl WHERE src IN (SELECT node FROM nl WHERE node LIKE 'Heat%') OR dst IN (SELECT node FROM nl WHERE node LIKE 'Heat%')")
 query("flt_range_batch", lambda k: k.kg.where("ordinal BETWEEN 101 AND 200").select("ordinal", "paper_id"), "SELECT ordinal, paper_id FROM kg WHERE ordinal BETWEEN 101 AND 200")
 
@@ -59,10 +59,10 @@ query("set_union_all", lambda k: k.clean.where("split = 'kg'").unionByName(k.cle
 query("set_except_leftover", lambda k: k.edges.select("src", "dst").join(_split_edges(k, "holdout").select("src", "dst"), ["src", "dst"], "left_anti"), f", {HALVES} SELECT src, dst FROM ed ANTI JOIN he USING (src, dst)")
 query(
     "jn_abs_full",
-    lambda k: k.kg.select("paper_id").distinct().join(k.clean.where("ordinal % 2 = 0").groupBy("paper_id").agg(F.count("*").alias("n_abs")), "paper_id", "left").join(k.clean.where("ordinal % 2 = 1").groupBy("paper_id").agg(F.count("*").alias("n_full")), "paper_id", "left").agg(F.count("*").alias("papers"), F.count_if(F.isnull("n_abs")).alias("no_abs"), F.count_if(F.isnull("n_full")).alias("no_full")),
-    ", p AS (SELECT paper_id, count(*) FILTER (WHERE ordinal % 2 = 0) AS a, count(*) FILTER (WHERE ordinal % 2 = 1) AS f FROM cl GROUP BY paper_id) SELECT count(*) AS papers, count(*) FILTER (WHERE a = 0) AS no_abs, count(*) FILTER (WHERE f = 0) AS no_full FROM p",
+    lambda k: k.kg.select("paper_id").distinct().join(k.clean.where("sl = 'physical'").groupBy("paper_id").agg(F.count("*").alias("n_abs")), "paper_id", "left").join(k.clean.where("el = 'economic'").groupBy("paper_id").agg(F.count("*").alias("n_full")), "paper_id", "left").agg(F.count("*").alias("papers"), F.count_if(F.isnull("n_abs")).alias("no_abs"), F.count_if(F.isnull("n_full")).alias("no_full")),
+    ", p AS (SELECT paper_id, count(*) FILTER (WHERE sl = 'physical') AS a, count(*) FILTER (WHERE el = 'economic') AS f FROM cl GROUP BY paper_id) SELECT count(*) AS papers, count(*) FILTER (WHERE a = 0) AS no_abs, count(*) FILTER (WHERE f = 0) AS no_full FROM p",
 )
-query("jn_edge_attr", lambda k: k.clean.where("ordinal <= 500").select("ordinal", "src", "dst").join(k.edges.select("src", "dst", "rel", "cf"), ["src", "dst"]), "SELECT cl.ordinal, cl.src, cl.dst, ed.rel, ed.cf FROM cl JOIN ed ON cl.src = ed.src AND cl.dst = ed.dst WHERE cl.ordinal <= 500")
+query("jn_edge_attr", lambda k: k.clean.select("ordinal", "src", "dst").join(k.edges.select("src", "dst", "rel", "cf"), ["src", "dst"]), "SELECT cl.ordinal, cl.src, cl.dst, ed.rel, ed.cf FROM cl JOIN ed ON cl.src = ed.src AND cl.dst = ed.dst")
 query(
     "jn_reverse_fallback",
     lambda k: (lambda e: k.clean.where("src < dst").select("ordinal", "src", "dst").join(e, ["src", "dst"], "left").join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("rel").alias("back")), ["src", "dst"], "left").select("ordinal", F.coalesce("rel", "back").alias("rel")))(k.edges.where("sl <> 'social'").select("src", "dst", "rel")),
@@ -95,14 +95,13 @@ query(
 query("agg_bridge", lambda k: layers.bridges(k.edges, k.node_layers), ", b AS (SELECT src AS node, dst AS other FROM ed UNION ALL SELECT dst, src FROM ed), l AS (SELECT node, layer FROM nl UNION ALL SELECT b.node, nl.layer FROM b JOIN nl ON b.other = nl.node) SELECT node, count(DISTINCT layer) AS n_layers FROM l GROUP BY node HAVING count(DISTINCT layer) >= 3")
 query("agg_node_layers", lambda k: k.node_layers, "SELECT * FROM nl")
 query("agg_layer_nodes", lambda k: _nodes(k.edges).join(k.node_layers, "node", "left").groupBy(F.coalesce("layer", F.lit("unknown")).alias("layer")).agg(F.count("*").alias("n")), "SELECT coalesce(layer, 'unknown') AS layer, count(*) AS n FROM deg LEFT JOIN nl USING (node) GROUP BY 1")
-SCH = ", ".join(f"('{n}', '{x}', '{r.get(x, x)}', '{o.get(r.get(x, x), '-')}')" for n, (r, o) in layers.SCHEMES.items() for x in triples.LAYERS)
-query(
-    "lay_experiment",
-    lambda k: layers.experiment(layers.with_node_layers(k.edges, k.node_layers)),
-    f", {NE}, s(scheme, layer, new, role) AS (VALUES {SCH}), j AS (SELECT a.scheme, a.new AS a, b.new AS b, a.role AS ra, b.role AS rb FROM ne JOIN s a ON nsl = a.layer JOIN s b ON nel = b.layer AND a.scheme = b.scheme), c AS (SELECT scheme, count(*) AS edges, count(*) FILTER (WHERE a <> b) AS crossing, count(*) FILTER (WHERE ra = 'p' AND rb = 'b') AS pb, count(*) FILTER (WHERE ra = 'b' AND rb = 'e') AS be, count(*) FILTER (WHERE ra = 'p' AND rb = 'e') AS pe FROM j GROUP BY scheme) SELECT scheme, edges, crossing, pb, be, pe, CASE WHEN scheme = 'two' THEN NULL WHEN pe = 0 AND pb + be = 0 THEN 0 WHEN pe = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST(pb + be AS DOUBLE) / pe END AS bmr FROM c",
-)
-query("agg_bmr_general", lambda k: layers.experiment(layers.with_node_layers(k.edges, k.node_layers)).select("scheme", "pb", "be", "pe"), f", {NE}, s(scheme, layer, new, role) AS (VALUES {SCH}) SELECT a.scheme, count(*) FILTER (WHERE a.role = 'p' AND b.role = 'b') AS pb, count(*) FILTER (WHERE a.role = 'b' AND b.role = 'e') AS be, count(*) FILTER (WHERE a.role = 'p' AND b.role = 'e') AS pe FROM ne JOIN s a ON nsl = a.layer JOIN s b ON nel = b.layer AND a.scheme = b.scheme GROUP BY 1")
-query("fn_layer_remap", lambda k: k.node_layers.join(F.broadcast(layers.scheme_table(k.spark)), "layer").select("scheme", "node", "new_layer"), f", s(scheme, layer, new, role) AS (VALUES {SCH}) SELECT scheme, node, new AS new_layer FROM nl JOIN s USING (layer)")
+SCH = ", ".join(map(str, layers.scheme_rows()))
+FI = f"fi AS (SELECT node, {keywords.split_biological_sql('node', 'layer')} AS layer FROM nl), s(scheme, layer, new, role) AS (VALUES {SCH})"
+EXPERIMENT = f", {FI}, j AS (SELECT a.scheme, a.new AS a, b.new AS b, a.role AS ra, b.role AS rb FROM ed JOIN fi x ON src = x.node JOIN fi y ON dst = y.node JOIN s a ON x.layer = a.layer JOIN s b ON y.layer = b.layer AND a.scheme = b.scheme), c AS (SELECT scheme, count(*) AS edges, count(*) FILTER (WHERE a <> b) AS crossing, count(*) FILTER (WHERE ra = 'p' AND rb = 'b') AS pb, count(*) FILTER (WHERE ra = 'b' AND rb = 'e') AS be, count(*) FILTER (WHERE ra = 'p' AND rb = 'e') AS pe FROM j GROUP BY scheme)"
+query("lay_experiment", lambda k: layers.experiment(k.edges, k.fine_layers), f"{EXPERIMENT} SELECT scheme, edges, crossing, pb, be, pe, CASE WHEN scheme = '2layer_coarse' THEN NULL WHEN pe = 0 AND pb + be = 0 THEN 0 WHEN pe = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST(pb + be AS DOUBLE) / pe END AS bmr FROM c")
+query("agg_bmr_general", lambda k: layers.experiment(k.edges, k.fine_layers).select("scheme", "pb", "be", "pe"), f"{EXPERIMENT} SELECT scheme, pb, be, pe FROM c")
+query("fn_layer_remap", lambda k: k.fine_layers.join(F.broadcast(layers.scheme_table(k.spark)), "layer").select("scheme", "node", "new_layer"), f", {FI} SELECT scheme, node, new AS new_layer FROM fi JOIN s USING (layer)")
+query("fn_bio_split", lambda k: k.fine_layers, f", {FI} SELECT * FROM fi")
 query("agg_paper_support", lambda k: k.clean.where("src <> dst").groupBy("src", "dst").agg(F.count_distinct("paper_id").alias("papers")).withColumn("tier", F.when(F.col("papers") >= 10, ">=10").when(F.col("papers") >= 5, "5-9").when(F.col("papers") >= 2, "2-4").otherwise("1")), "SELECT src, dst, count(DISTINCT paper_id) AS papers, CASE WHEN count(DISTINCT paper_id) >= 10 THEN '>=10' WHEN count(DISTINCT paper_id) >= 5 THEN '5-9' WHEN count(DISTINCT paper_id) >= 2 THEN '2-4' ELSE '1' END AS tier FROM cl WHERE src <> dst GROUP BY src, dst")
 query("agg_merge_stats", lambda k: resolve.merge_stats(_mapping(k)), f", m AS ({MAP}), g AS (SELECT canonical, count(*) AS n FROM m GROUP BY canonical) SELECT count(*) FILTER (WHERE n >= 2) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS merged, CAST(sum(n) AS BIGINT) AS entities FROM g")
 query("agg_empty_rate", lambda k: k.table("orders").select(F.concat(F.lit("WOS:"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("paper_id")).join(k.clean.select("paper_id").distinct().withColumn("has", F.lit(1)), "paper_id", "left").agg(F.count("*").alias("papers"), R6(F.avg(F.isnull("has").cast("double"))).alias("empty_rate")), ", p AS (SELECT o_orderkey, ('WOS:' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) IN (SELECT paper_id FROM cl) AS has FROM orders) SELECT count(*) AS papers, round(avg(CASE WHEN has THEN 0 ELSE 1.0::DOUBLE END), 6) AS empty_rate FROM p")
@@ -110,10 +109,10 @@ query("agg_matrix_norm", lambda k: layers.transitions(k.edges).withColumn("share
 query("agg_matrix_caption", lambda k: layers.transitions(k.edges).agg(F.sum(F.when(F.col("start_layer") == F.col("end_layer"), F.col("n")).otherwise(0)).alias("intra"), F.sum(F.when(F.col("start_layer") != F.col("end_layer"), F.col("n")).otherwise(0)).alias("inter")), "SELECT count(*) FILTER (WHERE sl = el) AS intra, count(*) FILTER (WHERE sl <> el) AS inter FROM ed WHERE sl IN (SELECT layer FROM valid) AND el IN (SELECT layer FROM valid)")
 query("win_best_evidence", lambda k: k.clean.where("src <> dst").groupBy("src", "dst").agg(F.max_by("ev", F.struct(F.length("ev").alias("l"), (-F.col("ordinal")).alias("o"))).alias("evidence")), "SELECT src, dst, ev AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY length(ev) DESC, ordinal) AS rn FROM cl WHERE src <> dst) WHERE rn = 1")
 query("win_first_per_paper", lambda k: k.clean.where("src <> dst").groupBy("src", "dst", "paper_id").agg(F.min("ordinal").alias("ordinal")), "SELECT src, dst, paper_id, min(ordinal) AS ordinal FROM cl WHERE src <> dst GROUP BY 1, 2, 3")
-query("win_cycle_answer", lambda k: k.clean.where("split = 'holdout'").select("ordinal", F.row_number().over(Window.orderBy("ordinal")).alias("rn")).select("ordinal", ((F.col("rn") - 1) % 4).alias("slot")), "SELECT ordinal, CAST((row_number() OVER (ORDER BY ordinal) - 1) % 4 AS INTEGER) AS slot FROM cl WHERE split = 'holdout'")
+query("win_cycle_answer", lambda k: with_ordinal(k.clean.where("split = 'holdout'").select("ordinal"), "ordinal", name="rn").select("ordinal", ((F.col("rn") - 1) % 4).cast("int").alias("slot")), "SELECT ordinal, CAST((row_number() OVER (ORDER BY ordinal) - 1) % 4 AS INTEGER) AS slot FROM cl WHERE split = 'holdout'")
 query("src_triples_json", lambda k: _json_round(k), "SELECT ordinal, start_node, relationship, end_node, confidence FROM kg")
 query("src_triples_glob", lambda k: _json_round(k).where("relationship <> ''").select("ordinal", "relationship"), "SELECT ordinal, relationship FROM kg WHERE relationship <> ''")
-query("src_triples_file", lambda k: k.table("orders").where("o_orderkey <= 40").select(F.concat(F.lit("WOS:"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("paper_id")).join(k.clean.groupBy("paper_id").agg(F.count("*").alias("n")), "paper_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), ", c AS (SELECT paper_id, count(*) AS n FROM cl GROUP BY paper_id), o AS (SELECT 'WOS:' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS paper_id FROM orders WHERE o_orderkey <= 40) SELECT o.paper_id, coalesce(n, 0) AS n FROM o LEFT JOIN c USING (paper_id)")
+query("src_triples_file", lambda k: k.table("orders").select(F.concat(F.lit("WOS:"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("paper_id")).join(k.clean.groupBy("paper_id").agg(F.count("*").alias("n")), "paper_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), ", c AS (SELECT paper_id, count(*) AS n FROM cl GROUP BY paper_id), o AS (SELECT 'WOS:' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS paper_id FROM orders) SELECT o.paper_id, coalesce(n, 0) AS n FROM o LEFT JOIN c USING (paper_id)")
 
 
 def _json_round(k):
@@ -134,6 +133,6 @@ query("prov_index", lambda k: triples.apply_mapping(k.clean, _mapping(k)).select
 query("smp_stratified", lambda k: k.node_layers.select("node", "layer", F.md5(F.concat(F.lit("42:"), "node")).alias("h")).withColumn("rank", F.row_number().over(Window.partitionBy("layer").orderBy("h", "node"))).where("rank <= 20").select("layer", "node"), "SELECT layer, node FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY md5('42:' || node), node) AS rn FROM nl) WHERE rn <= 20")
 query("smp_pairs", lambda k: k.edges.select("src", "dst").orderBy(F.md5(F.concat_ws("|", F.lit("43"), "src", "dst")), "src", "dst").limit(300), "SELECT src, dst FROM ed ORDER BY md5('43|' || src || '|' || dst), src, dst LIMIT 300")
 query("jn_sample_enrich", lambda k: k.node_layers.where("node LIKE 'Coral%'").join(k.edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out")), "node", "left").select("node", "layer", F.coalesce("n_out", F.lit(0).cast("long")).alias("n_out")), "SELECT nl.node, layer, coalesce(n, 0) AS n_out FROM nl LEFT JOIN (SELECT src AS node, count(*) AS n FROM ed GROUP BY src) USING (node) WHERE nl.node LIKE 'Coral%'")
-query("jn_cache", lambda k: k.edges.select(F.concat_ws("|||", "src", "dst").alias("key"), "sl", "el").join(k.edges.where("ordinal % 2 = 0").select(F.concat_ws("|||", "src", "dst").alias("key"), F.when(F.col("sl") == F.col("el"), "YES").otherwise("NO").alias("cached")), "key", "left").select("key", F.coalesce("cached", F.lit("ASK")).alias("answer")), "SELECT src || '|||' || dst AS key, CASE WHEN ordinal % 2 <> 0 THEN 'ASK' WHEN sl = el THEN 'YES' ELSE 'NO' END AS answer FROM ed")
+query("jn_cache", lambda k: k.edges.select(F.concat_ws("|||", "src", "dst").alias("key"), "sl", "el").join(k.edges.where("cf = 1").select(F.concat_ws("|||", "src", "dst").alias("key"), F.when(F.col("sl") == F.col("el"), "YES").otherwise("NO").alias("cached")), "key", "left").select("key", F.coalesce("cached", F.lit("ASK")).alias("answer")), "SELECT src || '|||' || dst AS key, CASE WHEN cf <> 1 THEN 'ASK' WHEN sl = el THEN 'YES' ELSE 'NO' END AS answer FROM ed")
 query("jn_group_pairs", lambda k: resolve.group_pairs(_mapping(k)), f", m AS (SELECT * FROM ({MAP})) SELECT a.canonical, a.entity AS a, b.entity AS b FROM m a JOIN m b ON a.canonical = b.canonical AND a.entity < b.entity")
 query("fn_yes_no", lambda k: k.kg.select("ordinal", F.upper("evidence_sentence").alias("t")).select("ordinal", F.when(F.col("t").contains("YES"), "YES").when(F.col("t").contains("NO"), "NO").otherwise("INVALID").alias("answer")), "SELECT ordinal, CASE WHEN contains(upper(evidence_sentence), 'YES') THEN 'YES' WHEN contains(upper(evidence_sentence), 'NO') THEN 'NO' ELSE 'INVALID' END AS answer FROM kg")

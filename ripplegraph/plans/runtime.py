@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ripplegraph.sources import fixtures
 
+#: Rounds of PageRank in queries that SQL checks; the operator by itself runs until it settles.
+PR_ROUNDS = 20
+
 #: Name -> function of a Frames object; name -> SQL over the driver's tables.
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +71,7 @@ class Frames:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._novel: dict[int, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -107,6 +111,105 @@ class Frames:
         return stored(layers.node_layers(self.clean), "layers")
 
 
+    @cached_property
+    def fine_layers(self) -> DataFrame:
+        """node, layer with biological split by keywords."""
+        from ripplegraph.operators import keywords
+
+        return self.node_layers.select("node", keywords.split_biological(F.col("node"), F.col("layer")).alias("layer"))
+
+    @cached_property
+    def degrees(self) -> DataFrame:
+        from ripplegraph.operators import graph
+
+        return stored(graph.degrees(self.edges), "degrees")
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        """PageRank after PR_ROUNDS rounds."""
+        from ripplegraph.operators import graph
+
+        return stored(graph.pagerank(self.edges, stored, PR_ROUNDS, None), "ranks")
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        """Mined paths with path_id: the nodes joined by >."""
+        from ripplegraph.operators import graph
+
+        first = self.clean.where("src <> dst").groupBy("src", "dst").agg(F.min("ordinal").alias("first"))
+        return stored(graph.mine_paths(first, self.node_layers, stored).withColumn("path_id", F.concat_ws(">", "nodes")), "paths")
+
+    @cached_property
+    def severity(self) -> DataFrame:
+        from ripplegraph.operators import scores
+
+        return stored(scores.severities(self.edges, self.node_layers, self.degrees), "severity")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """path_id, lf, clc, ip, score of the mined paths, rounded to 6 digits."""
+        from ripplegraph.operators import scores
+
+        found = scores.novelty(self.paths, self.edges, self.node_layers, self.degrees, self.ranks, self.severity)
+        return stored(found.select("path_id", *[F.round(c, 6).alias(c) for c in ("lf", "clc", "ip", "score")]), "scored")
+
+    @cached_property
+    def swept(self) -> DataFrame:
+        """combo, path_id, score, rank of every path under all weights."""
+        from ripplegraph.operators import scores
+
+        return stored(scores.ranked(scores.sweep(self.scored)), "swept")
+
+    @cached_property
+    def neighbours(self) -> DataFrame:
+        """src, dst, sim, rank of the 50 nearest vectors of each."""
+        from ripplegraph.operators import resolve
+
+        return stored(resolve.knn(self.table("embeddings"), 50), "neighbours")
+
+    @cached_property
+    def no_mapping(self) -> DataFrame:
+        return self.spark.createDataFrame([], "entity long, canonical long")
+
+    @cached_property
+    def halves(self) -> tuple[DataFrame, DataFrame]:
+        """Edges of the holdout and of the known graph."""
+        from ripplegraph.operators import triples
+
+        return tuple(stored(triples.collapse_last(self.clean.where(F.col("split") == s)).select("src", "dst", "rel", "ordinal"), s) for s in ("holdout", "kg"))
+
+    def novel(self, hops: int) -> DataFrame:
+        from ripplegraph.operators import benchmark
+
+        if hops not in self._novel:
+            self._novel[hops] = stored(benchmark.novel_paths(*self.halves, hops, stored), "novel")
+        return self._novel[hops]
+
+    @cached_property
+    def distractors(self) -> DataFrame:
+        """Of two-hop questions."""
+        from ripplegraph.operators import benchmark
+
+        return stored(benchmark.distractors(benchmark.walk_candidates(self.novel(2), self.halves[1], 1)), "distractors")
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        """Two-hop questions; the answer's place goes round from question to question."""
+        from ripplegraph.operators import benchmark
+
+        slots = with_ordinal(self.novel(2).select("path_id"), "path_id", name="n").select("path_id", ((F.col("n") - 1) % 4).cast("int").alias("slot"))
+        return stored(benchmark.build(self.novel(2), self.distractors, slots), "questions")
+
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        """id, hop_count, expected, pa, pb: answers of two modes to questions (fixture from orders)."""
+        letter = lambda c: F.chr((65 + c % 4).cast("int"))
+        o, c = F.col("o_orderkey"), F.col("o_custkey")
+        a = F.when(c % 31 == 0, "X").when(F.col("o_orderstatus") == "F", letter(c)).otherwise(letter(o))
+        b = F.when(c % 37 == 0, "X").when(F.col("o_orderstatus").isin("F", "P"), letter(c)).otherwise(letter(o + c))
+        return self.table("orders").select(o.alias("id"), (o % 4 + 1).cast("int").alias("hop_count"), letter(c).alias("expected"), a.alias("pa"), b.alias("pb"))
+
+
 _frames: dict[tuple[str, str], Frames] = {}
 
 

@@ -17,7 +17,10 @@ def write_split_json(df: DataFrame, path: str, by: str = "split") -> None:
     df.write.partitionBy(by).json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """CSV with a header; bom: a byte-order mark before the first column's name, as spreadsheets want it."""
+    if bom:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.csv(path, header=True, escape='"')
 
 
