@@ -16,6 +16,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ END_ID = 2
 #: Numbers in a block at most, unless one document is longer.
 BLOCK_NUMBERS = 1 << 16
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 _WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RUN = f" {_WHITE}|{_WHITE} "
 #: For each control byte the lengths of its four numbers.
@@ -54,68 +55,87 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.widths = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.widths[i] = len(token)  # a byte-level token has a character for each byte
+        self.forget()
 
-    def packed(self, ids) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+    def forget(self) -> None:
+        """Words met so far: a number each, by which begins and sizes hold where its ids are in store."""
+        self.number: dict[str, int] = {}
+        self.store, self.begins, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [self.packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def merged(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it; joined to one text, as one long text costs
-        less than many, and cut again where the tokens' bytes end with a word's."""
-        text = " " + " ".join(words)
-        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+    def merged(self, words: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with a space before it, and how many each has. Joined to one text, as one
+        long text costs less than many, and cut again where the tokens' bytes end with a word's."""
+        ids = np.array(self.whole([" " + " ".join(words)])[0], self.kind)
+        ends = np.cumsum(lengths + 1)
         reach = np.cumsum(self.widths[ids])
         cuts = np.searchsorted(reach, ends, "right")
         if not len(ids) or (reach[cuts - 1] != ends).any():
-            return self.whole([" " + w for w in words])
-        return [ids[a:b].tobytes() for a, b in zip(np.append(0, cuts[:-1]), cuts)]
-
-    def spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it, remembered from call to call."""
-        if len(self.known) > CACHE_WORDS:  # what comes again is taken over, the rest forgotten
-            self.older, self.known = self.known, {}
-        missing = set(words) - self.known.keys()
-        again = missing & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        if "" in missing:
-            self.known[""] = self.whole([" "])[0]
-        fresh = list(missing - again - {""})
-        for at in range(0, len(fresh), 2048):
-            self.known.update(zip(fresh[at : at + 2048], self.merged(fresh[at : at + 2048])))
-        return list(map(self.known.__getitem__, words))
+            lists = self.whole([" " + w for w in words])
+            return np.array([i for x in lists for i in x], self.kind), np.fromiter(map(len, lists), np.int64, len(lists))
+        return ids, np.diff(cuts, prepend=0)
+
+    def spaced(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words with a space before them; new ones are encoded and remembered."""
+        if len(self.number) > CACHE_WORDS:
+            self.forget()
+        texts = words.to_numpy(zero_copy_only=False).tolist()  # quicker than to_pylist
+        out = np.fromiter(map(self.number.get, texts, repeat(-1)), np.int64, len(texts))
+        new = np.flatnonzero(out < 0)
+        if not len(new):
+            return out
+        lengths = pc.binary_length(words.cast(pa.binary())).to_numpy(zero_copy_only=False)[new].astype(np.int64)
+        order = np.argsort(lengths == 0, kind="stable")  # an empty word would run into its neighbours: it comes last, alone
+        new, lengths = new[order], lengths[order]
+        full = int((lengths > 0).sum())
+        stores, sizes = [self.store], [self.sizes]
+        for at in [*range(0, full, 2048), *range(full, len(new))]:
+            to = min(at + 2048, full) if at < full else at + 1
+            ids, counts = self.merged([texts[i] for i in new[at:to]], lengths[at:to])
+            stores.append(ids), sizes.append(counts)
+        out[new] = len(self.number) + np.arange(len(new))
+        self.number.update(zip([texts[i] for i in new], out[new].tolist()))
+        self.store, self.sizes = np.concatenate(stores), np.concatenate(sizes)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        return out
 
     def encode_column(self, texts: pa.Array, end: list[int]) -> pa.Array:
-        """Ids of every text, and the end ids, as a binary column of little-endian numbers."""
+        """Ids of every text, and the end ids, as a binary column of little-endian numbers.
+
+        A text is its first word, its other words with the spaces before them, and the end ids.
+        """
+        n = len(texts)
+        if not n:
+            return pa.array([], pa.binary())
         texts = texts.fill_null("")
         whole = pc.match_substring_regex(texts, _RUN)
         for special in self.specials:
             whole = pc.or_(whole, pc.match_substring(texts, special))
         lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         coded = lists.flatten().dictionary_encode()
-        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-        words = coded.dictionary.to_pylist()
-        places = coded.indices.to_numpy().astype(np.int64)
-        heads = pc.if_else(whole, texts, coded.dictionary.take(coded.indices.take(pa.array(starts)))).to_pylist()
-        places[starts] = len(words) + np.arange(len(texts))
-        parts = self.spaced(words) + self.whole(heads)
-        store = np.frombuffer(b"".join(parts), self.kind)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // store.itemsize
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[places]
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        codes = coded.indices.to_numpy()
+        number = self.spaced(coded.dictionary)
+        heads = self.whole(pc.if_else(whole, texts, coded.dictionary.take(coded.indices.take(pa.array(cuts[:-1])))).to_pylist())
+        own = np.fromiter(map(len, heads), np.int64, n)
+        store = np.concatenate([self.store, np.fromiter(chain.from_iterable(heads), self.kind, own.sum()), np.array(end, self.kind)])
+        begins = np.concatenate([self.begins, len(self.store) + np.cumsum(own) - own, [len(store) - len(end)]])
+        sizes = np.concatenate([self.sizes, own, [len(end)]])
+        row = np.arange(n)
+        parts = np.empty(len(codes) + n, np.int64)
+        parts[np.arange(len(codes)) + np.repeat(row, np.diff(cuts))] = number[codes]
+        parts[cuts[:-1] + row] = len(self.sizes) + row
+        parts[cuts[1:] + row] = len(sizes) - 1
+        counts = sizes[parts]
         ends = np.cumsum(counts)
-        ids = store[np.repeat(begins[places] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
-        of_text = np.append(ends, 0)[np.append(starts[1:], len(places)) - 1] if len(texts) else ends
-        ids = np.insert(ids, np.repeat(of_text, len(end)), np.tile(np.array(end, self.kind), len(texts)))
-        offsets = np.append(0, of_text + len(end) * np.arange(1, len(texts) + 1)) * store.itemsize
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+        ids = store[np.repeat(begins[parts] - ends + counts, counts) + np.arange(ends[-1])]
+        offsets = np.append(0, ends[cuts[1:] + row]) * store.itemsize
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return self.encode_column(pa.array(texts, pa.string()), []).to_pylist()
@@ -158,8 +178,8 @@ def tokenized(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             encoder = encoder_of(path)
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
                 yield pa.RecordBatch.from_arrays([part.column(0), encoder.encode_column(part.column(1), [END_ID])], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
