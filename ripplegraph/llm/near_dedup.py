@@ -2,9 +2,10 @@
 
 One-permutation hashing with optimal densification gives each distinct shingle set BINS
 minima; bands of ROWS minima are bucket keys. A bucket gives a star of candidate edges
-from its smallest id, not all its pairs. Members that the star leaves in different
-components are compared once more where counts and shingles outside of the centre's set
-allow a link at all, so that no pair that shares a bucket and could be linked goes untested.
+from its centre, the member with the most company in all its buckets, not all its pairs.
+Members that the star leaves apart from the centre are compared once more where their
+differences from the centre allow a link at all, so that no pair that shares a bucket and
+could be linked goes untested.
 
 Exact copies of a set are folded into one representative first. At the similarity of
 0.8 a pair shares no bucket with a probability of about (1 - 0.8 ** 6) ** 54 = 1e-7.
@@ -194,30 +195,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _apart(buckets: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs a, b that share a bucket, lie in different components so far and may be linked.
 
-    Two members of a bucket are compared by way of its centre c, to which each has an exact
-    intersection. Members x and y share at most min(|x & c|, |y & c|) shingles that c has. If
-    they share none that c lacks, that must do for a link (few pairs are so, most are
-    ruled out by their counts); otherwise they meet in a shingle that c lacks. Of those
-    a prefix is enough: as many as can be missed and still leave the overlap a link needs.
-    One member of a pair is outside the centre's largest component.
+    Let x and y be members of a bucket with the centre c, D(x) the symmetric difference of x
+    and c. As x ^ y = D(x) ^ D(y), and a link is 9 * |x ^ y| <= |x| + |y|, the two are linked if
+    and only if D(x) and D(y) share (9 * (|D(x)| + |D(y)|) - |x| - |y|) / 18 elements. That is
+    more than none if one of them isn't linked to c, so such pairs meet in an element that both
+    have, and it is enough to look at the first ones of each: the first that they share has so
+    many after it in both. What c lacks comes first, as it is rare.
     """
-    wide = buckets.where("members > 2 and id <> centre").select("centre", "id").distinct()
-    now = wide.join(found, "id", "left").select("centre", "id", F.coalesce("comp", "id").alias("comp"))
-    tally = now.groupBy("centre", "comp").agg(F.count("*").alias("c")).groupBy("centre").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
-    open_ = now.join(tally.where("all > top.c").select("centre", F.col("top.comp").alias("main")), "centre")
-    measured = open_.join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("s").alias("cs")), "centre")
-    measured = measured.select("centre", "id", "comp", (F.col("comp") != F.col("main")).alias("minor"), F.size("s").alias("n"), F.size(F.array_intersect("s", "cs")).alias("i"), F.array_except("s", "cs").alias("lacks"))
-    measured = stored(measured, "measured")
-
-    other = lambda df, *more: df.select("centre", F.col("id").alias("p"), F.col("comp").alias("pc"), *more)
-    near = measured.where(100 * F.col("i") >= PERCENT * F.col("n"))
-    most = F.least("i", "pi")
-    by_counts = near.join(other(near.where("minor"), F.col("n").alias("pn"), F.col("i").alias("pi")), "centre")
-    by_counts = by_counts.where((F.col("comp") != F.col("pc")) & (100 * most >= PERCENT * (F.col("n") + F.col("pn") - most)))
-    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100.0).cast("int") - F.col("i"))
-    prefix = measured.select("centre", "id", "comp", "minor", F.explode(F.slice("lacks", F.lit(1), F.greatest(F.lit(0), F.size("lacks") - needed + 1))).alias("shingle"))
-    by_shingle = prefix.join(other(prefix.where("minor"), "shingle"), ["centre", "shingle"]).where("comp <> pc")
-    return by_counts.select("id", "p").union(by_shingle.select("id", "p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    star = buckets.where("members > 2 and id <> centre").select("centre", "id").distinct()
+    own = found.select(F.col("id").alias("centre"), F.col("comp").alias("main"))
+    now = star.join(found, "id", "left").join(own, "centre", "left").select("centre", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("main", "centre").alias("main"))
+    now = now.withColumn("minor", F.col("comp") != F.col("main"))
+    now = now.join(now.where("minor").select("centre").distinct(), "centre", "left_semi")
+    measured = now.join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("s").alias("cs")), "centre")
+    d = F.concat(F.array_except("s", "cs"), F.array_except("cs", "s"))
+    measured = stored(measured.select("centre", "id", "comp", "minor", F.size("s").alias("n"), F.size("cs").alias("nc"), d.alias("d")), "measured")
+
+    size = F.size("d")
+    least = F.greatest(F.lit(1), F.ceil((9 * size - F.col("n") - F.col("nc")) / 18.0), F.ceil((9 * size - 2.25 * F.col("n")) / 9.0)).cast("int")
+    first = measured.select("centre", "id", "comp", "minor", "n", size.alias("nd"), F.posexplode(F.slice("d", F.lit(1), F.greatest(F.lit(0), size - least + 1))).alias("at", "shingle"))
+    others = first.where("minor").select("centre", "shingle", F.col("id").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("nd").alias("pd"), F.col("at").alias("pat"))
+    after = F.least(F.col("nd") - F.col("at"), F.col("pd") - F.col("pat"))
+    met = first.join(others, ["centre", "shingle"]).where((F.col("comp") != F.col("pc")) & (18 * after >= 9 * (F.col("nd") + F.col("pd")) - F.col("n") - F.col("pn")) & _sizes_fit("n", "pn"))
+    return met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,8 +232,11 @@ def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text
     sets_of = base.where("n > 0 and id is not null")
     copies = stored(sets_of.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "representatives")
     exploded = copies.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    full = exploded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("members")).where("centre <> last")
-    buckets = stored(exploded.join(full.drop("last"), "key").select("key", "id", "centre", "members"), "buckets")
+    full = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stored(exploded.join(full, "key"), "shared")
+    company = shared.groupBy("id").agg(F.sum("members").alias("company"))
+    centres = shared.join(company, "id").groupBy("key").agg((-F.max(F.struct("company", (-F.col("id")).alias("i")))["i"]).alias("centre"))
+    buckets = stored(shared.join(centres, "key").select("id", "centre", "members").distinct(), "buckets")
     marks = copies.select(F.col("rep").alias("id"), "n", "sketch")
 
     tested = stored(_alike(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), marks), "pairs")
@@ -245,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text
 
     apart = _apart(buckets, found, sets)
     more = stored(_confirmed(_alike(apart, marks), sets), "links")
-    for df in (buckets, tested):
+    for df in (shared, buckets, tested):
         discard(df)
     if not more.isEmpty():
         links = stored(links.union(more), "links")
