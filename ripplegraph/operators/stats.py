@@ -100,10 +100,10 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def chi2(table: DataFrame, row: str, column: str, n: str = "n") -> DataFrame:
     """chi2, df of a contingency table in long form; columns without counts left out; Yates' correction where df is 1."""
-    kept = table.where(F.col(n) > 0)
-    rows, columns = kept.groupBy(row).agg(F.sum(n).alias("rn")), kept.groupBy(column).agg(F.sum(n).alias("cn"))
-    cells = rows.crossJoin(columns).join(kept.select(row, column, F.col(n).alias("o")), [row, column], "left")  # one cell per pair of categories
-    total = kept.agg(F.sum(n).alias("all"), F.count_distinct(row).alias("r"), F.count_distinct(column).alias("c"))
+    kept = table.where(F.col(n) > 0).select(F.col(row).alias("_row"), F.col(column).alias("_column"), F.col(n).alias("o"))
+    rows, columns = kept.groupBy("_row").agg(F.sum("o").alias("rn")), kept.groupBy("_column").agg(F.sum("o").alias("cn"))
+    cells = rows.crossJoin(columns).join(kept, ["_row", "_column"], "left")  # one cell per pair of categories
+    total = kept.agg(F.sum("o").alias("all"), F.count_distinct("_row").alias("r"), F.count_distinct("_column").alias("c"))
     cells = cells.crossJoin(F.broadcast(total)).withColumn("e", F.col("rn") * F.col("cn") / F.col("all")).withColumn("d", F.abs(F.coalesce("o", F.lit(0)) - F.col("e")))
     df = (F.col("r") - 1) * (F.col("c") - 1)
     d = F.when(df == 1, F.greatest(F.lit(0.0), F.col("d") - 0.5)).otherwise(F.col("d"))

@@ -117,10 +117,10 @@ query("st_bin_fdr", lambda k: k.scored.select("score", F.lit(1).alias("g")).unio
 
 # --- vectors ----------------------------------------------------------------------------
 VE = ", ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
-KNN = f"{VE}, kn AS (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.v, b.v), 9) AS sim, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.vec_id) AS INTEGER) AS rank FROM ve a CROSS JOIN ve b) WHERE rank <= 50)"
-query("vec_knn", lambda k: k.neighbours.select("src", "dst", "rank", R6("sim").alias("sim")), f"{KNN} SELECT src, dst, rank, round(sim, 6) AS sim FROM kn")
+KNN = f"{VE}, kn AS (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.v, b.v) AS raw, round(list_dot_product(a.v, b.v), 9) AS sim, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.vec_id) AS INTEGER) AS rank FROM ve a CROSS JOIN ve b) WHERE rank <= 50)"
+query("vec_knn", lambda k: k.neighbours.select("src", "dst", "rank", "sim"), f"{KNN} SELECT src, dst, rank, sim FROM kn")
 query("jn_knn_topk", lambda k: k.neighbours.where("rank <= 5").select("src", "dst", "rank"), f"{KNN} SELECT src, dst, rank FROM kn WHERE rank <= 5")
-query("fn_cosine", lambda k: k.neighbours.where("rank <= 5").select("src", "dst").join(k.table("embeddings").select(F.col("vec_id").alias("src"), F.col("embedding").alias("a")), "src").join(k.table("embeddings").select(F.col("vec_id").alias("dst"), F.col("embedding").alias("b")), "dst").select("src", "dst", F.greatest(F.lit(0.0), R6(1 - resolve.dot("a", "b"))).alias("d")), f"{KNN} SELECT src, dst, greatest(0, round(1 - sim, 6)) AS d FROM kn WHERE rank <= 5")
+query("fn_cosine", lambda k: k.neighbours.where("rank <= 5").select("src", "dst").join(k.table("embeddings").select(F.col("vec_id").alias("src"), F.col("embedding").alias("a")), "src").join(k.table("embeddings").select(F.col("vec_id").alias("dst"), F.col("embedding").alias("b")), "dst").select("src", "dst", F.greatest(F.lit(0.0), R6(1 - resolve.dot("a", "b"))).alias("d")), f"{KNN} SELECT src, dst, greatest(0, round(1 - raw, 6)) AS d FROM kn WHERE rank <= 5")
 query("fn_l2norm", lambda k: k.table("embeddings").select("vec_id", R6(F.element_at(resolve.normalise("embedding"), 1)).alias("first")), f"{VE} SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM ve")
 query("fn_round", lambda k: k.ranks.select("node", F.round("pr", 4).alias("four"), R6("pr").alias("six")), f", {catalog_graph.PR} SELECT node, round(pr, 4) AS four, round(pr, 6) AS six FROM pr")
 CENTROID = f"{VE}, lm AS (SELECT label, min(vec_id) AS canonical FROM ve GROUP BY label), ce AS (SELECT canonical, pos, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS pos FROM ve) JOIN lm USING (label) GROUP BY 1, 2), cn AS (SELECT canonical, list(m ORDER BY pos) AS m FROM ce GROUP BY canonical), cv AS (SELECT canonical, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM cn)"
@@ -134,7 +134,7 @@ def _centroids(k):
 
 
 query("agg_centroid", lambda k: _centroids(k).select("id", R6(F.element_at("v", 1)).alias("first"), R6(F.element_at("v", -1)).alias("last")), f"{CENTROID} SELECT canonical AS id, round(v[1], 6) AS first, round(v[-1], 6) AS last FROM cv")
-query("jn_threshold_link", lambda k: resolve.link(k.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), _centroids(k), 0.1).select("id", "target", R6("sim").alias("sim")), f"{CENTROID}, l AS (SELECT vec_id AS id, canonical AS target, round(list_dot_product(ve.v, cv.v), 9) AS sim FROM ve CROSS JOIN cv), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, target) AS rn FROM l) SELECT id, target, round(sim, 6) AS sim FROM m WHERE rn = 1 AND sim >= 0.1")
+query("jn_threshold_link", lambda k: resolve.link(k.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), _centroids(k), 0.1).select("id", "target", "sim"), f"{CENTROID}, l AS (SELECT vec_id AS id, canonical AS target, round(list_dot_product(ve.v, cv.v), 9) AS sim FROM ve CROSS JOIN cv), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, target) AS rn FROM l) SELECT id, target, sim FROM m WHERE rn = 1 AND sim >= 0.1")
 query("er_link", lambda k: resolve.link(k.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), _centroids(k)).select("id", "target"), f"{CENTROID}, l AS (SELECT vec_id AS id, canonical AS target, round(list_dot_product(ve.v, cv.v), 9) AS sim FROM ve CROSS JOIN cv), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, target) AS rn FROM l) SELECT id, target FROM m WHERE rn = 1 AND sim >= 0.82")
 MARGIN = f"{KNN}, mp AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM kn WHERE src <> dst AND 1 - sim >= 0.6 AND 1 - sim < 0.62)"
 query("jn_margin_range", lambda k: resolve.margin_pairs(k.neighbours, k.no_mapping, 0.6), f"{MARGIN} SELECT a, b FROM mp")
