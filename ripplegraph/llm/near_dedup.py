@@ -32,6 +32,8 @@ PERCENT = 80
 #: Share of equal minima below which a pair isn't compared in full: more than six standard deviations under PERCENT.
 SKETCH_SHARE = 0.66
 CACHE_WORDS = 400_000
+#: Up to so many ids whose texts are read again are broadcast; with more, the texts are shuffled to them.
+BROADCAST_IDS = 2_000_000
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)[:-1].astype(np.uint64)
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -241,14 +243,16 @@ def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text
 
     tested = stored(_alike(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), marks), "pairs")
     wanted = tested.select(F.col("a").alias("id")).union(tested.select(F.col("b").alias("id"))).union(buckets.where("members > 2").select("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    wanted = stored(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
     sets = stored(shingle_sets(texts, words).where(F.size("s") > 0), "sets")
     links = stored(_confirmed(tested, sets).union(_same_id(base, copies)), "links")
     found = components(links)
 
     apart = _apart(buckets, found, sets)
     more = stored(_confirmed(_alike(apart, marks), sets), "links")
-    for df in (shared, buckets, tested):
+    for df in (shared, buckets, tested, wanted):
         discard(df)
     if not more.isEmpty():
         links = stored(links.union(more), "links")
