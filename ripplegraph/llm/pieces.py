@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ SPACE, STAND_IN = "▁", ""
 #: A segmentation's weight is the product of its pieces' probabilities to this power.
 ALPHA = 0.3
 SEED = 20
-#: Words whose lattices a Python worker keeps, and characters that are sampled together.
-LEXICON, CHUNK = 150_000, 1_500_000
+#: Words whose lattices a task keeps, and characters that are sampled together.
+LEXICON, CHUNK = 300_000, 1_500_000
 #: Words up to this long are added many at once; their weights don't underflow.
 SHORT = 60
 _BASE = np.array([0x5851F42D4C957F2D], np.uint64)
@@ -87,7 +88,7 @@ class Sampler:
 
     def reset(self):
         self.words: dict[str, int] = {}
-        self.shares, self.sources, self.edges = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        self.shares, self.sources, self.edges = [np.zeros(0)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         self.nodes, self.strings, self.spelled, self.pending = 0, [], {}, ([], [], [])
 
     def add(self, word: str) -> None:
@@ -173,7 +174,7 @@ class Sampler:
             shares += [end + c / total for c in columns]
         mask = np.stack(hits, 1)
         self.shares.append((np.stack(shares, 1) + bases[:, None])[mask])
-        self.sources.append((np.array(starts)[None, :] + bases[:, None])[mask])
+        self.sources.append((np.array(starts)[None, :] + bases[:, None])[mask].astype(np.int32))
         self.edges.append(np.stack(edges, 1)[mask])
 
     def _as_bytes(self, codes: np.ndarray, weight: np.ndarray, edge: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +192,7 @@ class Sampler:
     def arrays(self) -> None:
         """Store what was added one by one."""
         if self.pending[0]:
-            for store, new, kind in zip((self.shares, self.sources, self.edges), self.pending, (np.float64, np.int64, np.int32)):
+            for store, new, kind in zip((self.shares, self.sources, self.edges), self.pending, (np.float64, np.int32, np.int32)):
                 store.append(np.array(new, kind))
             self.pending = ([], [], [])
 
@@ -203,20 +204,20 @@ class Sampler:
         seen: set[str] = set()
         for words in split:
             seen.update(words)
-        self.add_all(sorted(seen - self.words.keys()))
+        self.add_all(list(seen - self.words.keys()))
         self.arrays()
         for store in (self.shares, self.sources, self.edges):
             store[:] = [np.concatenate(store)]
         shares, sources, edges = self.shares[0], self.sources[0], self.edges[0]
         counts = np.array([len(w) for w in split], np.int64)
-        at = np.fromiter((self.words[w] for words in split for w in words), np.int64, counts.sum())
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
         first = np.repeat(np.cumsum(counts) - counts, counts)
         number = (np.arange(len(at)) - first).astype(np.uint64)
         seeds = mix(np.array([k & (1 << 64) - 1 for k in keys], np.uint64) ^ mix(np.full(len(keys), SEED, np.uint64)))
         seeds = np.repeat(seeds, counts) + number * _WORD
-        lengths = np.fromiter((len(w) + 1 for words in split for w in words), np.int64, len(at))
+        lengths = np.fromiter(map(len, chain.from_iterable(split)), np.int64, len(at)) + 1
         begin = at - lengths
-        alive, steps, taken = np.arange(len(at)), np.zeros(len(at), np.int64), []
+        alive, steps, taken = np.argsort(at, kind="stable"), np.zeros(len(at), np.int64), []  # by word, so that searches fall near each other
         step = 0
         while len(alive):
             draw = (mix(seeds[alive] + np.array([step], np.uint64) * _STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -286,6 +287,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                     keys, texts, size = [], [], 0
             if keys:
                 yield finish(keys, texts)
+        sampler.reset()  # the worker lives on and serves other stages
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
