@@ -33,6 +33,7 @@ SEED = 20
 LEXICON, CHUNK = 300_000, 1_500_000
 #: Words up to this long are added many at once; their weights don't underflow.
 SHORT = 60
+_HIGH = np.uint64(48)
 _BASE = np.array([0x5851F42D4C957F2D], np.uint64)
 _WORD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -78,11 +79,14 @@ class Sampler:
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
         self.byte_ids, self.byte_weight = byte_ids, (1 / ((2 + size) * total)) ** alpha
         self.longest = max(map(len, self.weight))
-        self.by_length = []
+        self.by_length, self.sieves = [], []  # a sieve: which upper halves of hashes pieces of that length have
         for n in range(1, self.longest + 1):
             own = [p for p in self.weight if len(p) == n]
             sums = _prefixes(_codes(own, n))[:, n] if own else np.zeros(0, np.uint64)
             order = np.argsort(sums)
+            sieve = np.zeros(1 << 16, bool)
+            sieve[(sums >> _HIGH).astype(np.int64)] = True
+            self.sieves.append(sieve)
             self.by_length.append((sums[order], np.array([self.weight[own[i]] for i in order]), np.array([self.id[own[i]] for i in order], np.int32)))
         self.reset()
 
@@ -158,10 +162,26 @@ class Sampler:
             for start in range(max(0, end - self.longest), end):
                 known, weights, ids = self.by_length[end - start - 1]
                 own = prefix[:, end] - prefix[:, start] * powers[end - start]
+                if start < end - 1:  # few are pieces
+                    maybe = np.flatnonzero(self.sieves[end - start - 1][(own >> _HIGH).astype(np.int64)])
+                    at = np.minimum(np.searchsorted(known, own[maybe]), max(0, len(known) - 1))
+                    good = known[at] == own[maybe] if len(known) else np.zeros(len(maybe), bool)
+                    maybe, at = maybe[good], at[good]
+                    if len(maybe):
+                        hit = np.zeros(m, bool)
+                        hit[maybe] = True
+                        gain, edge = np.zeros(m), np.zeros(m, np.int32)
+                        gain[maybe], edge[maybe] = sums[maybe, start] * weights[at], ids[at]
+                        total = total + gain
+                        columns.append(total)
+                        edges.append(edge)
+                        starts.append(start)
+                        hits.append(hit)
+                    continue
                 at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
                 hit = known[at] == own if len(known) else np.zeros(m, bool)
                 weight, edge = weights[at] if len(known) else np.zeros(m), ids[at] if len(known) else at
-                if start == end - 1 and not hit.all():
+                if not hit.all():
                     weight, edge, hit = self._as_bytes(codes[:, start], weight, edge, hit)
                 if not hit.any():
                     continue
