@@ -72,7 +72,7 @@ def _tops(k):
 query("st_kendall_tau", lambda k: stats.kendall_tau(_tops(k), "a", "b").select(R6("tau").alias("tau")), f"{TOPS} SELECT round(sum(sign(x.a - y.a) * sign(x.b - y.b)) / sqrt(CAST(sum(abs(sign(x.a - y.a))) AS DOUBLE) * sum(abs(sign(x.b - y.b)))), 6) AS tau FROM tu x JOIN tu y ON x.item < y.item")
 
 # --- the null ---------------------------------------------------------------------------
-PERMS = 200
+PERMS = 10_000
 
 
 def _null(k):
