@@ -8,6 +8,8 @@ give the fewest bytes wins. A near draw is a rejection.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,24 +18,40 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, release, slices, table
 
-#: Bounds of the fit: documents sampled per language, letters taken of each, bytes of one dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1600, 400, 200_000
+#: Bound of the fit: documents sampled per language, each taken whole.
+SAMPLE_DOCS = 160
 #: Texts are compressed in pieces of so many bytes, so that a long text is measured against the dictionary and not against itself.
 PIECE_BYTES = 4096
 #: Of a text of fewer characters the sizes are means over so many turns of its words, as whole bytes are coarse there.
 SHORT, TURNS = 300, 8
 #: A text whose second-best language needs less than this share more bytes is rejected.
-MIN_MARGIN = 0.0005
+MIN_MARGIN = 0.01
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _letters() -> re.Pattern:
+    """What separates words: all but letters (category L) and the marks on them (M)."""
+    ranges, start = [], None
+    for code in range(sys.maxunicode + 2):
+        good = code <= sys.maxunicode and unicodedata.category(chr(code))[0] in "LM"
+        if good and start is None:
+            start = code
+        elif not good and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+            start = None
+    return re.compile(f"[^{''.join(ranges)}]+")
+
+
+_NOT_LETTERS = _letters()
 
 
 def normal_form(text: str | None) -> str:
     """Lower-case words joined by one space, a word that repeats at once kept once;
-    empty if there is no letter."""
+    empty if there is no letter (a number such as a fraction or a circled digit is none)."""
     words = _NOT_LETTERS.sub(" ", text.lower()).split() if text else []
+    words = words if any(w[0].isalpha() or any(map(str.isalpha, w)) for w in words) else []
     return " ".join(words[:1] + [w for w, before in zip(words[1:], words) if w != before])
 
 
@@ -52,8 +70,12 @@ class Model:
             made = []
             for content in self.dictionaries.values():
                 as_dict = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                as_dict.precompute_compress(level=self.level)
-                made.append(zstandard.ZstdCompressor(dict_data=as_dict, write_content_size=False, write_checksum=False, write_dict_id=False, level=self.level))
+                reach = max(17, (len(content) + PIECE_BYTES).bit_length())  # all of the dictionary stays in the window
+                how = zstandard.ZstdCompressionParameters.from_level(
+                    self.level, dict_size=len(content), window_log=reach, hash_log=reach, chain_log=reach, write_content_size=False, write_checksum=False, write_dict_id=False
+                )
+                as_dict.precompute_compress(compression_params=how)
+                made.append(zstandard.ZstdCompressor(dict_data=as_dict, compression_params=how))
             self._ready = made
         return self._ready
 
@@ -90,8 +112,8 @@ class Model:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", only=None) -> Model:
     """Learn from a bounded sample of the rows that have a language.
 
-    Per language about SAMPLE_DOCS documents, chosen by a hash of the id, give at
-    most SAMPLE_CHARS characters each, taken at a hashed place; counts come from all rows.
+    Per language about SAMPLE_DOCS documents, chosen by a hash of the id, give their
+    whole texts, equal ones once; counts come from all rows.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     if only is not None:
@@ -101,23 +123,16 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     if not counts:
         return Model({})
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))])
-    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int")
     rows = (
         known.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * F.lit(1 << 30))
-        .select("lang", F.xxhash64("id", F.lit("order")).alias("o"), F.substring(F.col("text"), place + 1, F.lit(SAMPLE_CHARS)).alias("t"))
-
+        .select("lang", F.xxhash64("id", F.lit("order")).alias("o"), "text")
         .collect()
     )
     parts: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in sorted(rows, key=lambda r: (r["o"], r["t"])):
-        if form := normal_form(r["t"]):
+    for r in sorted(rows, key=lambda r: (r["o"], r["text"])):
+        if form := normal_form(r["text"]):
             parts[r["lang"]].append(form)
-    made = {}
-    for lang, forms in parts.items():
-        content = " ".join(dict.fromkeys(forms)).encode("utf-8", "replace")
-        if content:
-            made[lang] = (b" " + content + b" ")[:DICT_BYTES]
-    return Model(made)
+    return Model({lang: f" {' '.join(dict.fromkeys(forms))} ".encode("utf-8", "replace") for lang, forms in parts.items() if forms})
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,18 +140,20 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     A null or letterless text, and every text where nothing was learned, is `und`
     with score 0 and rejected. Repeated rows each get their row; ties between
-    languages go to the first by name and are rejected. Null ids are kept.
+    languages go to the first by name and are rejected. Null ids are kept. A very long text
+    is measured whole, piece by piece. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [held.value.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
-                names=["doc_id", "lang_pred", "score", "rejected"],
-            )
+            for part in slices(batch, 1):
+                found = [held.value.predict(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
+                    names=["doc_id", "lang_pred", "score", "rejected"],
+                )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
@@ -148,7 +165,9 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not held.value.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+            for part in slices(batch, at):
+                yield part.filter(pa.array([not held.value.predict(t)[2] for t in part.column(at).to_pylist()], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -44,3 +44,46 @@ def test_empty_table(spark):
     model = lid.fit(none)
     assert lid.identify(none, model).count() == 0 and lid.accepted(none, model).count() == 0
     assert model.predict("anything")[0] == lid.UNKNOWN
+
+
+def test_numbers_are_no_letters():
+    model = lid.Model({"aa": b" kalo " * 20, "bb": b" schein " * 20})
+    assert model.predict("½ ² ① Ⅷ ٣")[:2] == (lid.UNKNOWN, 0.0)
+    assert lid.normal_form("Ab1c²d ab_é ñ̃") == "ab c d ab é ñ̃"
+
+
+def test_whole_texts_are_learned(spark):
+    """What only the end of long documents has is in the dictionary."""
+    filler = {"aa": "ka lo mi ", "bb": "sch ung ein "}
+    rows = [(i, filler[lang] * 3000 + f"{lang}zzquokka{i} {lang}wombat{i}", lang, "") for i, lang in enumerate(["aa", "bb"] * 6)]
+    model = lid.fit(spark.createDataFrame(rows, SCHEMA))
+    for i, lang in enumerate(["aa", "bb"] * 6):
+        assert f"{lang}wombat".encode() in model.dictionaries[lang]
+    assert model.predict("aawombat aazzquokka")[0] == "aa"
+
+
+def test_all_of_a_large_dictionary_is_in_reach():
+    draw = random.Random(3)
+    content = " ".join("".join(draw.choices("abcdefghij", k=9)) for _ in range(300_000)).encode()
+    compress = lid.Model({"aa": content}).compressors()[0].compress
+    assert max(len(compress(content[a : a + 2000])) for a in (0, 1_500_000, 2_990_000)) < 60
+
+
+def test_same_as_sizes_one_by_one(spark):
+    """Predictions against compressing the whole form with each dictionary, without the operator's model."""
+    import zstandard
+
+    docs = spark.createDataFrame(sample(90), SCHEMA)
+    model = lid.fit(docs)
+    for r in lid.identify(docs, model).collect():
+        text = next(t for i, t, _, _ in sample(90) if i == r.doc_id)
+        form = f" {lid.normal_form(text)} "
+        if len(form) < lid.SHORT + 2:
+            continue
+        sizes = {}
+        for lang, content in model.dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = len(zstandard.ZstdCompressor(dict_data=d, level=3).compress(form.encode()))
+        order = sorted(sizes, key=sizes.get)
+        if sizes[order[1]] - sizes[order[0]] > 12:
+            assert r.lang_pred == order[0]
