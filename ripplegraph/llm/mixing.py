@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, stored, table
+from .common import discard, release, slices, stored, table
 
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -48,11 +48,13 @@ def cells_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            topics, sizes = [], []
-            for text in batch.column(3).to_pylist():
-                words = text.lower().split() if text else []
-                topics.append(topic(words)), sizes.append(len(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(topics, pa.string()), pa.array(sizes, pa.int64())], names=names)
+            for part in slices(batch, 3):
+                topics, sizes = [], []
+                for text in part.column(3).to_pylist():
+                    words = text.lower().split() if text else []
+                    topics.append(topic(words)), sizes.append(len(words))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(topics, pa.string()), pa.array(sizes, pa.int64())], names=names)
+        release()
 
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), label(source_col).alias("source"), label(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -189,8 +191,10 @@ def mixed(docs: DataFrame, *, budget: float = BUDGET) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            topics = pa.array([topic(t.lower().split() if t else []) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, topics], names=[*names, "__topic"])
+            for part in slices(batch, at):
+                topics = pa.array([topic(t.lower().split() if t else []) for t in part.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, topics], names=[*names, "__topic"])
+        release()
 
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("__topic", T.StringType())])

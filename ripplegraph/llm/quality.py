@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, stored, table
+from .common import crc_mod, discard, release, slices, stored, table
 
 #: Bounds of the fit: labelled rows taken of each class, preference pairs drawn from them.
 FIT_ROWS, FIT_PAIRS = 6000, 60_000
@@ -78,8 +78,10 @@ def feature_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[float(v) for v in features(t)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
+            for part in slices(batch, 1):
+                rows = [[float(v) for v in features(t)] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, x array<double>")
 
@@ -183,8 +185,10 @@ def good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(len(batch), len(FEATURES))
-            yield batch.filter(pa.array(ranker.score(x) >= KEEP_SCORE))
+            for part in slices(batch, at):
+                x = np.array([features(t) for t in part.column(at).to_pylist()]).reshape(len(part), len(FEATURES))
+                yield part.filter(pa.array(ranker.score(x) >= KEEP_SCORE))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
