@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 Store = Callable[[DataFrame], DataFrame]
 DAMPING = 0.85
 #: Graphs with more nodes are not gathered for kernels that need the whole graph in memory (betweenness, communities).
-MOST_NODES = 1_000_000
+MOST_NODES, MOST_EDGES = 1_000_000, 20_000_000
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -93,12 +93,14 @@ def bounded_search(edges: DataFrame, starts: DataFrame, cutoff: int, store: Stor
 
 
 def _gathered(edges: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Names and the ends of the edges as numbers; refused beyond MOST_NODES."""
+    """Names and the ends of the distinct edges as numbers; refused beyond MOST_NODES or MOST_EDGES."""
     names = [r["node"] for r in nodes(edges).orderBy("node").limit(MOST_NODES + 1).collect()]
     if len(names) > MOST_NODES:
         raise ValueError(f"more than {MOST_NODES} nodes: the kernel holds the whole graph in each task; take pivots of a smaller part")
     at = {name: i for i, name in enumerate(names)}
-    rows = edges.select("src", "dst").distinct().toPandas()
+    rows = edges.select("src", "dst").distinct().limit(MOST_EDGES + 1).toPandas()
+    if len(rows) > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges: the kernel holds the whole graph in each task")
     return names, rows["src"].map(at).to_numpy(np.int64), rows["dst"].map(at).to_numpy(np.int64)
 
 
@@ -157,12 +159,13 @@ def betweenness(edges: DataFrame, tasks: int, pivots: int | None = None, of_edge
         total = np.zeros(len(src_) if of_edges else graph.n)
         where = src_ * graph.n + dst_
         sort = np.argsort(where)
+        where = where[sort]
         for f in frames:
             for start in f["id"]:
                 delta, shares = graph.dependencies(int(start))
                 if of_edges:
                     for a, b, share in shares:
-                        np.add.at(total, sort[np.searchsorted(where[sort], a * graph.n + b)], share)
+                        np.add.at(total, sort[np.searchsorted(where, a * graph.n + b)], share)
                 else:
                     total += delta
         at = np.flatnonzero(total)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.operators import graph, keywords, scores
 
-from .runtime import PR_ROUNDS, query, stored
+from .runtime import PR_ROUNDS, query, stored, tasks
 
 R6 = lambda c: F.round(c, 6)
 PR = graph.pagerank_sql(PR_ROUNDS)
@@ -24,9 +24,9 @@ query("gr_pagerank", lambda k: k.ranks.select("node", F.round("pr", 9).alias("pr
 query("srt_topk", lambda k: k.ranks.select("node", F.round("pr", 9).alias("pr")).orderBy(F.desc("pr"), "node").limit(20), f", {PR} SELECT node, round(pr, 9) AS pr FROM pr ORDER BY 2 DESC, 1 LIMIT 20")
 query("win_topn_per_layer", lambda k: k.degrees.join(k.node_layers, "node").withColumn("rank", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("degree"), "node"))).where("rank <= 5").select("layer", "rank", "node", "degree"), "SELECT layer, rank, node, degree FROM (SELECT layer, deg.node, degree, CAST(row_number() OVER (PARTITION BY layer ORDER BY degree DESC, deg.node) AS INTEGER) AS rank FROM deg JOIN nl ON deg.node = nl.node) WHERE rank <= 5")
 query("gr_components", lambda k: graph.components(k.edges, stored))
-query("gr_betweenness", lambda k: graph.betweenness(k.edges, 8).select("node", F.round("bc", 9).alias("bc")))
-query("gr_edge_betweenness", lambda k: graph.betweenness(k.edges, 8, pivots=500, of_edges=True).select("src", "dst", F.round("bc", 9).alias("bc")))
-query("srt_top_edges", lambda k: graph.betweenness(k.edges, 8, pivots=500, of_edges=True).select("src", "dst", F.round("bc", 9).alias("bc")).orderBy(F.desc("bc"), "src", "dst").limit(500))
+query("gr_betweenness", lambda k: graph.betweenness(k.edges, tasks(k.spark)).select("node", F.round("bc", 9).alias("bc")))
+query("gr_edge_betweenness", lambda k: graph.betweenness(k.edges, tasks(k.spark), pivots=500, of_edges=True).select("src", "dst", F.round("bc", 9).alias("bc")))
+query("srt_top_edges", lambda k: graph.betweenness(k.edges, tasks(k.spark), pivots=500, of_edges=True).select("src", "dst", F.round("bc", 9).alias("bc")).orderBy(F.desc("bc"), "src", "dst").limit(500))
 query("gr_communities", lambda k: graph.modularity(k.edges, graph.communities(k.edges)))
 query("gr_louvain", lambda k: graph.communities(k.edges, local_moves=True))
 

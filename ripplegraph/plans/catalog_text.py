@@ -145,15 +145,15 @@ SENTENCES = "list_filter(string_split_regex(regexp_replace({}, '([.!?])\\s+', '\
 query("flt_min_frag", lambda k: k.pages.select("doc_id", "page_no", F.size(F.filter(F.split(text.strip(F.col("text")), r"(?<=[.!?])\s+"), lambda s: F.length(s) > text.FRAGMENT)).alias("n")), f"SELECT doc_id, page_no, CAST(len({SENTENCES.replace('{}', strip_sql('text'))}) AS INTEGER) AS n FROM pg")
 query("fn_last_n_sentences", lambda k: k.pages.select("doc_id", "page_no", text.last_sentences(F.col("text")).alias("tail")), f"SELECT doc_id, page_no, array_to_string({SENTENCES.replace('{}', strip_sql('text'))}[-2:], ' ') AS tail FROM pg")
 CHUNKS = (
-    f", p AS (SELECT doc_id, page_no, {strip_sql('text')} AS text FROM pg), e AS (SELECT *, {WORDS} >= 20 OR lead(page_no) OVER (PARTITION BY doc_id ORDER BY page_no) IS NULL AS ends FROM p), "
+    f", p AS (SELECT doc_id, page_no, {strip_sql('text')} AS text FROM pg), e AS (SELECT *, {WORDS} >= {text.MIN_WORDS} OR lead(page_no) OVER (PARTITION BY doc_id ORDER BY page_no) IS NULL AS ends FROM p), "
     "g AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e), "
     f"j AS (SELECT doc_id, chunk, {strip_sql('string_agg(text, chr(10) || chr(10) ORDER BY page_no)')} AS text, string_agg(page_no, ',' ORDER BY page_no) AS pages FROM g GROUP BY doc_id, chunk), "
     "c AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk) AS before FROM j)"
 )
-query("win_chunk_islands", lambda k: text.chunks(k.pages, 20).select("doc_id", "chunk", F.sha2("text", 256).alias("digest"), F.array_join(F.transform("page_nums", lambda x: x.cast("string")), ",").alias("pages")), f"{CHUNKS} SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, sha256(text) AS digest, pages FROM c WHERE text <> ''")
+query("win_chunk_islands", lambda k: text.chunks(k.pages).select("doc_id", "chunk", F.sha2("text", 256).alias("digest"), F.array_join(F.transform("page_nums", lambda x: x.cast("string")), ",").alias("pages")), f"{CHUNKS} SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, sha256(text) AS digest, pages FROM c WHERE text <> ''")
 CONTEXT = f"coalesce(array_to_string({SENTENCES.replace('{}', 'before')}[-2:], ' '), '')"
-query("win_prev_context", lambda k: text.chunks(k.pages, 20).select("doc_id", "chunk", "context"), f"{CHUNKS} SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, {CONTEXT} AS context FROM c WHERE text <> ''")
-query("fn_prompt_context", lambda k: text.chunks(k.pages, 20).select("doc_id", "chunk", F.sha2(text.prompt(F.col("context"), F.col("text")), 256).alias("digest")), f"{CHUNKS} SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, sha256(CASE WHEN {CONTEXT} <> '' THEN '[Context of the page before; extract nothing from it]' || chr(10) || {CONTEXT} || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text ELSE text END) AS digest FROM c WHERE text <> ''")
+query("win_prev_context", lambda k: text.chunks(k.pages).select("doc_id", "chunk", "context"), f"{CHUNKS} SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, {CONTEXT} AS context FROM c WHERE text <> ''")
+query("fn_prompt_context", lambda k: text.chunks(k.pages).select("doc_id", "chunk", F.sha2(text.prompt(F.col("context"), F.col("text")), 256).alias("digest")), f"{CHUNKS} SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, sha256(CASE WHEN {CONTEXT} <> '' THEN '[Context of the page before; extract nothing from it]' || chr(10) || {CONTEXT} || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text ELSE text END) AS digest FROM c WHERE text <> ''")
 
 # --- names ------------------------------------------------------------------------------
 

@@ -14,6 +14,8 @@ from ripplegraph.sources import fixtures
 
 #: Rounds of PageRank in queries that SQL checks; the operator by itself runs until it settles.
 PR_ROUNDS = 20
+#: Neighbours that are kept of each vector.
+KNN_TOP = 500
 
 #: Name -> function of a Frames object; name -> SQL over the driver's tables.
 QUERIES: dict[str, Callable] = {}
@@ -43,7 +45,22 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage of a loop and outlives executors."""
     path = place(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(value) -> None:
+    """Delete the files of tables made by stored(), also of those in a tuple or dict."""
+    for df in value if isinstance(value, tuple) else value.values() if isinstance(value, dict) else [value]:
+        if path := getattr(df, "_stored_at", None):
+            system, at = _folder(df.sparkSession, path)
+            system.delete(at, True)
 
 
 def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
@@ -66,6 +83,11 @@ def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame
     return ranged.withColumn(name, start + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at")
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks to deal work out to: the session's shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 class Frames:
     """The tables of a data folder and the knowledge-graph frames derived from them."""
 
@@ -79,7 +101,7 @@ class Frames:
     @cached_property
     def kg(self) -> DataFrame:
         """Raw triples (fixture), numbered in a total order."""
-        lines = with_ordinal(self.table("lineitem").where("l_quantity <= 4"), *fixtures.LINE_ORDER)
+        lines = with_ordinal(self.table("lineitem"), *fixtures.LINE_ORDER)
         return stored(self.spark.sql(fixtures.kg_sql("{line}", "ordinal", "{orders}", "{customer}"), line=lines, orders=self.table("orders"), customer=self.table("customer")), "triples")
 
     @cached_property
@@ -162,10 +184,10 @@ class Frames:
 
     @cached_property
     def neighbours(self) -> DataFrame:
-        """src, dst, sim, rank of the 50 nearest vectors of each."""
+        """src, dst, sim, rank of the KNN_TOP nearest vectors of each."""
         from ripplegraph.operators import resolve
 
-        return stored(resolve.knn(self.table("embeddings"), 50), "neighbours")
+        return stored(resolve.knn(self.table("embeddings"), KNN_TOP), "neighbours")
 
     @cached_property
     def no_mapping(self) -> DataFrame:
@@ -210,12 +232,27 @@ class Frames:
         return self.table("orders").select(o.alias("id"), (o % 4 + 1).cast("int").alias("hop_count"), letter(c).alias("expected"), a.alias("pa"), b.alias("pb"))
 
 
-_frames: dict[tuple[str, str], Frames] = {}
+_frames: dict[tuple[str, str], tuple[tuple, Frames]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of a data folder's files: changed data gives another state."""
+    system, at = _folder(spark, sf_dir)
+    files = system.listFiles(at, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> Frames:
-    """The Frames of a session and folder; made once, so that derived tables are written once."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _frames:
-        _frames[key] = Frames(spark, sf_dir)
-    return _frames[key]
+    """The Frames of a session and the present state of a folder; made once, so that derived
+    tables are written once. Those of an earlier state are deleted."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
+    if key not in _frames or _frames[key][0] != state:
+        if key in _frames:
+            for value in vars(_frames[key][1]).values():
+                discard(value)
+        _frames[key] = (state, Frames(spark, sf_dir))
+    return _frames[key][1]

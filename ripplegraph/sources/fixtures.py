@@ -7,11 +7,10 @@ LINE_ORDER = ['l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'l_quantit
 _KG = """
 WITH b AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, year(o_orderdate) AS yr,
-         cast(floor(l_partkey/25) AS bigint) AS pk, cast(floor(c_custkey/25) AS bigint) AS ck, cast(floor(l_suppkey/2) AS bigint) AS sk,
-         c_nationkey AS nk,
+         cast(floor(l_partkey/2) AS bigint) AS pk, cast(floor(c_custkey/2) AS bigint) AS ck, l_suppkey*12 + l_partkey%12 AS sk,
+         c_nationkey*12 + c_custkey%12 AS nk,
          @ordinal@ AS ordinal
   FROM @line@ AS lineitem JOIN @orders@ AS orders ON l_orderkey=o_orderkey JOIN @customer@ AS customer ON o_custkey=c_custkey
-  WHERE l_quantity <= 4
 ), e AS (
   SELECT *, (CASE pk%4 WHEN 0 THEN 'HeatStress' WHEN 1 THEN 'DroughtIndex' WHEN 2 THEN 'OceanWarming' ELSE 'UHIIntensity' END) || cast(pk AS string) AS p_,
     (CASE ck%4 WHEN 0 THEN 'CoralBleaching' WHEN 1 THEN 'CropYield' WHEN 2 THEN 'CardioMortality' ELSE 'SleepLoss' END) || cast(ck AS string) AS b_,
@@ -52,7 +51,7 @@ RECORDS = """
 SELECT doc_id,
  'PT J' || chr(10) || 'AU Author' || cast(doc_id AS string) || chr(10) ||
  'TI ' || substr(replace(text, chr(10), ' '), 1, 60) || chr(10) || '   ' || substr(replace(text, chr(10), ' '), 61, 40) || chr(10) ||
- 'SO Journal ' || source || chr(10) || 'AB ' || substr(replace(text, chr(10), ' '), 101, 200) || chr(10) || 'SC Science' || chr(10) ||
+ 'SO Journal ' || source || chr(10) || 'AB ' || substr(replace(text, chr(10), ' '), 101) || chr(10) || 'SC Science' || chr(10) ||
  (CASE WHEN doc_id % 2 = 0 THEN 'DI 10.1000/' || cast(doc_id AS string) || chr(10) ELSE '' END) ||
  (CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 3 < 2 THEN 'PY ' || cast(2015 + doc_id % 12 AS string) || chr(10)
        WHEN doc_id % 2 = 0 THEN 'EA MAY ' || cast(2015 + doc_id % 12 AS string) || chr(10) ELSE 'PD JAN ' || cast(2015 + doc_id % 12 AS string) || chr(10) END) ||

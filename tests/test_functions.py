@@ -24,6 +24,9 @@ from ripplegraph.streaming import transitions
         ('{"results": [{"start_node": "a", "end_node": "b"}, {"start_node": "a"}]}', 1),
         ('{start_node: "a", end_node: "b"} /* x */', 1),
         ('[{"start_node": "a", "end_node": "b"}, {"start_node": "c", "end_n', 1),
+        ('{"results": [{"start_node": "a", "end_node": "b"}, {"start_node": "c", "end_node": "d"}, {"sta', 2),
+        ("Two: {'start_node': \"it's\", 'end_node': 'b\\'s'} and {start_node: x, end_node: y,}.", 2),
+        ("[(" * 3000, None),
         ("nothing", None),
         ("", None),
         (None, None),
