@@ -35,6 +35,8 @@ SKETCH_SHARE = 0.62
 CACHE_WORDS = 200_000
 #: Up to so many ids whose texts are read again are broadcast; with more, the texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
+#: A join's key is hot with more rows than this and than the rows' share of one in MOST_HOT, so there are at most MOST_HOT such keys.
+SPREAD, MOST_HOT = 500, 1000
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)[:-1].astype(np.uint64)
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -142,6 +144,23 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, s array<long>")
 
 
+def hot_join(rows: DataFrame, small: DataFrame, key: str, by: str, counts: DataFrame | None = None) -> DataFrame:
+    """rows join small (one row per key) on key, where a few keys may have very many rows.
+
+    The rows of a hot key are dealt by another column over as many places as it needs, each of which
+    gets a copy of the key's row of small. counts (key, n) are the rows' numbers, where known.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    most = max(SPREAD, (counts.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot = counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("__places")).collect()  # MOST_HOT at most
+    if not hot:
+        return rows.join(small, key)
+    places = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} long, __places int"))
+    dealt = rows.join(places, key, "left").withColumn("__place", F.coalesce(F.pmod(F.xxhash64(by), F.col("__places")), F.lit(0)).cast("int")).drop("__places")
+    copied = small.join(places, key, "left").withColumn("__place", F.explode(F.sequence(F.lit(0), F.coalesce("__places", F.lit(1)) - 1))).drop("__places")
+    return dealt.join(copied, [key, "__place"]).drop("__place")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (the smallest id reachable) of every id in edges a, b, by alternating
     large-star and small-star steps; each step's edges are a written table."""
@@ -154,13 +173,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(low, "a")
-        small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "low")
+        large = hot_join(both.where("b > a"), low.select("a", "m"), "a", "b", low).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = stored(large, "large")
+        lower = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        down = hot_join(large, lower.select("a", "m"), "a", "b", lower)
+        small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b"))).distinct()
         after_edges = stored(small, "edges")
-        discard(edges)
+        for df in (edges, low, large, lower):
+            discard(df)
         edges, after = after_edges, state(after_edges)
         if after == before:
             break
@@ -181,7 +202,7 @@ def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     of = lambda x, name: marks.select(F.col("id").alias(x), F.col("sketch").alias(name), F.col("n").alias(f"n{name}"))
-    joined = pairs.join(of("b", "y"), "b").join(of("a", "x"), "a")
+    joined = hot_join(pairs.join(of("b", "y"), "b"), of("a", "x"), "a", "b", pairs.groupBy("a").agg(F.count("*").alias("n")))
     return joined.where(_sizes_fit("nx", "ny")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -192,7 +213,7 @@ def _sizes_fit(a: str, b: str) -> Column:
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs a, b the links: 100 * intersection >= PERCENT * union on the full sets."""
     of = lambda x, name: sets.select(F.col("id").alias(x), F.col("s").alias(name))
-    joined = pairs.join(of("b", "y"), "b").join(of("a", "x"), "a")
+    joined = hot_join(pairs.join(of("b", "y"), "b"), of("a", "x"), "a", "b", pairs.groupBy("a").agg(F.count("*").alias("n")))
     shared = F.size(F.array_intersect("x", "y"))
     return joined.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -207,12 +228,14 @@ def _apart(buckets: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     have, and it is enough to look at the first ones of each: the first that they share has so
     many after it in both. What c lacks comes first, as it is rare.
     """
-    star = buckets.where("members > 2 and id <> centre").select("centre", "id").distinct()
-    own = found.select(F.col("id").alias("centre"), F.col("comp").alias("main"))
-    now = star.join(found, "id", "left").join(own, "centre", "left").select("centre", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("main", "centre").alias("main"))
-    now = now.withColumn("minor", F.col("comp") != F.col("main"))
-    now = now.join(now.where("minor").select("centre").distinct(), "centre", "left_semi")
-    measured = now.join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("s").alias("cs")), "centre")
+    star = stored(buckets.where("members > 2 and id <> centre").select("centre", "id").distinct(), "star")
+    counts = star.groupBy("centre").agg(F.count("*").alias("n"))
+    own = counts.join(found.select(F.col("id").alias("centre"), F.col("comp").alias("main")), "centre", "left").select("centre", F.coalesce("main", "centre").alias("main"))
+    now = hot_join(star.join(found, "id", "left"), own, "centre", "id", counts).select("centre", "id", F.coalesce("comp", "id").alias("comp"), "main")
+    now = stored(now.withColumn("minor", F.col("comp") != F.col("main")), "now")
+    split = now.groupBy("centre").agg(F.bool_or("minor").alias("split"), F.count("*").alias("n")).where("split")
+    now = hot_join(now, split.select("centre"), "centre", "id", split.select("centre", "n"))
+    measured = hot_join(now.join(sets, "id"), sets.select(F.col("id").alias("centre"), F.col("s").alias("cs")), "centre", "id", split.select("centre", "n"))
     d = F.concat(F.array_except("s", "cs"), F.array_except("cs", "s"))
     measured = stored(measured.select("centre", "id", "comp", "minor", F.size("s").alias("n"), F.size("cs").alias("nc"), d.alias("d")), "measured")
 
@@ -231,17 +254,19 @@ def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text
     component_id is the smallest doc_id that links reach; kept marks that document.
     Null and empty texts, and texts of white space, have an empty set and are linked with
     nothing. Rows that repeat a doc_id are one node: what links one of them links all, and
-    each gets its row. A row with a null doc_id has a null component and is kept.
+    each gets its row. A row with a null doc_id has a null component and is kept. A very long
+    text counts whole. Other columns, whatever their names, are not read.
     """
     base = stored(sketches(docs, words, id_col, text_col), "sketches")
     sets_of = base.where("n > 0 and id is not null")
     copies = stored(sets_of.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "representatives")
     exploded = copies.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    full = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = stored(exploded.join(full, "key"), "shared")
+    full = stored(exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "full")
+    counts = full.select("key", F.col("members").alias("n"))
+    shared = stored(hot_join(exploded, full, "key", "id", counts), "shared")
     company = shared.groupBy("id").agg(F.sum("members").alias("company"))
     centres = shared.join(company, "id").groupBy("key").agg((-F.max(F.struct("company", (-F.col("id")).alias("i")))["i"]).alias("centre"))
-    buckets = stored(shared.join(centres, "key").select("id", "centre", "members").distinct(), "buckets")
+    buckets = stored(hot_join(shared, centres, "key", "id", counts).select("id", "centre", "members").distinct(), "buckets")
     marks = copies.select(F.col("rep").alias("id"), "n", "sketch")
 
     tested = stored(_alike(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), marks), "pairs")
@@ -255,7 +280,7 @@ def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text
 
     apart = _apart(buckets, found, sets)
     more = stored(_confirmed(_alike(apart, marks), sets), "links")
-    for df in (shared, buckets, tested, wanted):
+    for df in (full, shared, buckets, tested, wanted):
         discard(df)
     if not more.isEmpty():
         links = stored(links.union(more), "links")
@@ -277,7 +302,8 @@ def _same_id(base: DataFrame, copies: DataFrame) -> DataFrame:
 
 def _result(base: DataFrame, by_set: DataFrame) -> DataFrame:
     """Every row with its set's component; a doc_id with several sets takes the smallest of theirs."""
-    rows = base.select("id", "n", "s1", "s2").join(by_set, ["s1", "s2"], "left")
+    rows = base.where("s1 is not null").select("id", "n", "s1", "s2").join(by_set, ["s1", "s2"], "left").select("id", "n", "comp")
+    rows = rows.union(base.where("s1 is null").select("id", "n", F.lit(None).cast("long")))  # no key: they would all meet in one task
     component = F.when(F.col("id").isNotNull(), F.least(F.coalesce("comp", "id"), "id"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
