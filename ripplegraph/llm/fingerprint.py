@@ -160,7 +160,8 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     A null text is empty; a null id comes before all others and is kept; rows that repeat
     an id are documents of their own, in order of their texts; the only row of a table
-    follows itself.
+    follows itself. A very long text is parsed whole. Other columns, whatever their names,
+    are not read.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 

@@ -34,7 +34,10 @@ SEED = 7
 
 
 def topic(words: list[str]) -> str:
-    """A document's topic: its commonest word of seven letters or more (ties to the smaller) in one of TOPICS hashed classes."""
+    """A document's topic: its commonest word of seven letters or more (ties to the smaller) in one of TOPICS hashed classes.
+
+    That groups documents by a key word and not by meaning; any other function of the words can take its place.
+    """
     long = Counter(w for w in words if len(w) > 6)
     if not long:
         return NONE
@@ -177,7 +180,8 @@ def mix_to_targets(docs: DataFrame, *, targets: dict[str, dict[str, float]] | No
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept of every row.
 
     A draw is a hash of the id, so repeated rows share theirs (and rows with a null id too).
-    A null source or language is a value of its own, an empty text is kept. An empty table gives no rows.
+    A null source or language is a value of its own, an empty text is kept. A very long text
+    counts whole. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     rows = stored(cells_of(docs, **columns), "documents-cells")
     found = calibrated(rows, targets=targets, budget=budget, driver_cells=driver_cells)
@@ -185,23 +189,30 @@ def mix_to_targets(docs: DataFrame, *, targets: dict[str, dict[str, float]] | No
 
 
 def mixed(docs: DataFrame, *, budget: float = BUDGET) -> DataFrame:
-    """The rows of docs (doc_id, text, source, lang), all columns as they are, that are drawn; no text is shuffled where the cells are few."""
+    """The rows of docs (doc_id, text, source, lang), all columns as they are, that are drawn; no text is shuffled where the cells are few.
+
+    Columns of docs may have any names: those that are added for the draw get one that none of them has.
+    """
     found = calibrated(cells_of(docs), budget=budget)
     at = docs.columns.index("text")
+    mark = "__mixing"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    own = lambda d: f"{mark}_{d}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
                 topics = pa.array([topic(t.lower().split() if t else []) for t in part.column(at).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, topics], names=[*names, "__topic"])
+                yield pa.RecordBatch.from_arrays([*part.columns, topics], names=[*names, own("topic")])
         release()
 
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("__topic", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(own("topic"), T.StringType())])
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    keyed = docs.mapInArrow(run, schema).withColumns({"__source": label("source"), "__lang": label("lang")})
-    cells = found.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__probability"))
-    return keyed.join(cells, [f"__{d}" for d in DIMENSIONS]).where(_drawn("__probability")).select(names)
+    keyed = docs.mapInArrow(run, schema).withColumns({own("source"): label("source"), own("lang"): label("lang")})
+    cells = found.select(*[F.col(d).alias(own(d)) for d in DIMENSIONS], F.col("probability").alias(own("probability")))
+    return keyed.join(cells, [own(d) for d in DIMENSIONS]).where(_drawn(own("probability"))).select(names)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
