@@ -17,6 +17,8 @@ THETA = 0.7
 THETAS = (0.5, 0.6, 0.7, 0.8, 0.9)
 ALPHAS, STEP = (0.3, 0.4, 0.5, 0.6, 0.7), 0.05
 BINS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Scores lie from 0 to 1; a combination of weights is ranked in so many strips of equal width.
+STRIPS = 512
 # End of fixed values.
 
 
@@ -109,8 +111,18 @@ def sweep(scored: DataFrame) -> DataFrame:
 
 
 def ranked(swept: DataFrame) -> DataFrame:
-    """With rank: the place by falling score, ties by path_id."""
-    return swept.withColumn("rank", F.row_number().over(Window.partitionBy("combo").orderBy(F.desc("score"), "path_id")))
+    """With rank: the place by falling score, ties by path_id.
+
+    Scores are cut into STRIPS, so that a combination's rows are ranked in many tasks: a rank is the
+    place within the strip after all rows of the higher ones, of which there are STRIPS a combination at most.
+    """
+    cut = swept.withColumn("strip", F.floor(F.col("score") * STRIPS).cast("int"))
+    above = Window.partitionBy("combo").orderBy(F.desc("strip")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("combo", "strip").agg(F.count("*").alias("n"))
+    before = sizes.select("combo", "strip", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
+    within = Window.partitionBy("combo", "strip").orderBy(F.desc("score"), "path_id")
+    placed = cut.withColumn("rank", F.row_number().over(within)).join(F.broadcast(before), ["combo", "strip"])
+    return placed.select("combo", "path_id", "score", (F.col("before") + F.col("rank")).alias("rank"))
 
 
 def default_combo() -> int:

@@ -131,10 +131,10 @@ query("agg_flow_mediation", lambda k: _flow(k).where("la <> 'unknown' AND lb <>
 query("snk_figures", lambda k: _flow(k).groupBy("la", "lb").agg(F.count("*").alias("steps"), F.round(F.sum("strength"), 4).alias("flow")), f", {MINED}, {STRENGTH}, {FLOW} SELECT la, lb, count(*) AS steps, round(sum(strength), 4) AS flow FROM fl GROUP BY 1, 2")
 
 # --- sweeps -----------------------------------------------------------------------------
-query("st_weight_sweep", lambda k: k.swept.groupBy("combo").agg(F.max("score").alias("high"), R6(F.avg("score")).alias("mean")), f", {SW} SELECT combo, max(score) AS high, round(avg(score), 6) AS mean FROM sw GROUP BY combo")
-query("win_rank_full", lambda k: k.swept.where("rank <= 20").select("combo", "rank", "path_id"), f", {SW} SELECT combo, CAST(rank AS INTEGER) AS rank, path_id FROM sw WHERE rank <= 20")
+query("st_weight_sweep", lambda k: scores.sweep(k.scored).groupBy("combo").agg(F.max("score").alias("high"), R6(F.avg("score")).alias("mean")), f", {SW} SELECT combo, max(score) AS high, round(avg(score), 6) AS mean FROM sw GROUP BY combo")
+query("win_rank_full", lambda k: k.swept.where("rank <= 20").select("combo", F.col("rank").cast("int").alias("rank"), "path_id"), f", {SW} SELECT combo, CAST(rank AS INTEGER) AS rank, path_id FROM sw WHERE rank <= 20")
 query("win_rank_stats", lambda k: k.swept.groupBy("path_id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"), R6(F.avg("rank")).alias("mean"), R6(F.stddev_pop("rank")).alias("std"), R6(F.stddev_pop("rank") / F.avg("rank")).alias("cv"), R6(F.avg((F.col("rank") <= 20).cast("double"))).alias("top20"), R6(F.avg((F.col("rank") <= 50).cast("double"))).alias("top50")), f", {SW} SELECT path_id, CAST(min(rank) AS INTEGER) AS best, CAST(max(rank) AS INTEGER) AS worst, round(avg(rank), 6) AS mean, round(stddev_pop(rank), 6) AS std, round(stddev_pop(rank) / avg(rank), 6) AS cv, round(avg(CASE WHEN rank <= 20 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top20, round(avg(CASE WHEN rank <= 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top50 FROM sw GROUP BY path_id")
-query("st_theta_counts", lambda k: k.swept.groupBy("combo").agg(*[F.count_if(F.col("score") >= t).alias(f"n{round(10 * t)}") for t in scores.THETAS]), f", {SW} SELECT combo, {', '.join(f'count(*) FILTER (WHERE score >= {t}) AS n{round(10 * t)}' for t in scores.THETAS)} FROM sw GROUP BY combo")
+query("st_theta_counts", lambda k: scores.sweep(k.scored).groupBy("combo").agg(*[F.count_if(F.col("score") >= t).alias(f"n{round(10 * t)}") for t in scores.THETAS]), f", {SW} SELECT combo, {', '.join(f'count(*) FILTER (WHERE score >= {t}) AS n{round(10 * t)}' for t in scores.THETAS)} FROM sw GROUP BY combo")
 
 
 def _agreement(k):
