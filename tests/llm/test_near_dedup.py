@@ -66,20 +66,6 @@ def test_empty_table(spark):
     assert found(spark, [], 2) == []
 
 
-def test_hot_keys_are_dealt_out(spark, monkeypatch):
-    """The same components where every key with over two rows counts as hot."""
-    monkeypatch.setattr(nd, "SPREAD", 2)
-    monkeypatch.setattr(nd, "MOST_HOT", 1_000_000)
-    draw = random.Random(11)
-    texts = [t for n in (30, 8) for t in family(draw, n, 40, 5)] + ["same words here again"] * 40 + ["", None] * 5
-    rows = list(enumerate(draw.sample(texts, len(texts))))
-    assert found(spark, rows, 2) == brute(rows, 2)
-    rows = spark.createDataFrame([(i % 3, i) for i in range(50)], "k long, x long")
-    small = spark.createDataFrame([(0, "p"), (1, "q"), (7, "r")], "k long, y string")
-    want = sorted((i % 3, i, "pq"[i % 3]) for i in range(50) if i % 3 < 2)
-    assert sorted((r.k, r.x, r.y) for r in nd.hot_join(rows, small, "k", "x").collect()) == want
-
-
 def test_very_long_texts(spark):
     draw = random.Random(3)
     long = [f"w{draw.randrange(5000)}" for _ in range(200_000)]
