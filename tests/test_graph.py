@@ -130,7 +130,7 @@ def test_registered_permutations_reach_small_p_values(spark, monkeypatch):
     to = graph.Adjacency(2, np.array([0]), np.array([1]))
     null = scores.Null(["a", "b"], to, (np.array([1]), np.array([2.0])), np.array([1.0, 1.0]), np.array([0, 1]), np.array([0.1, 0.1]), (1.0, 0.5))
     monkeypatch.setattr(catalog_stats, "_null", lambda k: spark.sparkContext.broadcast(null))
-    k = SimpleNamespace(scored=spark.createDataFrame([("never", 2.0), ("always", -1.0)], "path_id string, score double"), paths=spark.createDataFrame([("never", ["a", "b"]), ("always", ["a", "b"])], "path_id string, nodes array<string>"))
+    k = SimpleNamespace(spark=spark, scored=spark.createDataFrame([("never", 2.0), ("always", -1.0)], "path_id string, score double"), paths=spark.createDataFrame([("never", ["a", "b"], ["physical", "social"]), ("always", ["a", "b"], ["physical", "social"])], "path_id string, nodes array<string>, layers array<string>"))
     both = catalog_stats._permuted(k)
     assert {r.path_id: r.p for r in scores.per_path(both, catalog_stats.PERMS).collect()} == {"never": 1 / 10_001, "always": 1.0}
     assert scores.per_permutation(both).count() == 10_000
