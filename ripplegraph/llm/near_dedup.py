@@ -202,10 +202,13 @@ def _apart(buckets: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 
     Let x and y be members of a bucket with the centre c, D(x) the symmetric difference of x
     and c. As x ^ y = D(x) ^ D(y), and a link is 9 * |x ^ y| <= |x| + |y|, the two are linked if
-    and only if D(x) and D(y) share (9 * (|D(x)| + |D(y)|) - |x| - |y|) / 18 elements. That is
-    more than none if one of them isn't linked to c, so such pairs meet in an element that both
-    have, and it is enough to look at the first ones of each: the first that they share has so
-    many after it in both. What c lacks comes first, as it is rare.
+    and only if D(x) and D(y) share (9 * (|D(x)| + |D(y)|) - |x| - |y|) / 18 elements. One of
+    them, x say, isn't linked to c, which is 9 * |D(x)| > |x| + |c|; so they share at least
+    (9 * |D(y)| + |c| - |y| + 1) / 18, about half of D(y), and about half of D(x) too where y
+    isn't linked to c either. If two share k elements, then the first that they share, in any
+    order that is the same for all members, has k - 1 after it in both. So each is met only by
+    its first elements, the rarest among the bucket's members first: what many members have
+    or lack in common comes last, and a bucket's rows grow with its members, not with its pairs.
     """
     star = buckets.where("members > 2 and id <> centre").select("centre", "id").distinct()
     own = found.select(F.col("id").alias("centre"), F.col("comp").alias("main"))
@@ -216,13 +219,33 @@ def _apart(buckets: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     d = F.concat(F.array_except("s", "cs"), F.array_except("cs", "s"))
     measured = stored(measured.select("centre", "id", "comp", "minor", F.size("s").alias("n"), F.size("cs").alias("nc"), d.alias("d")), "measured")
 
-    size = F.size("d")
-    least = F.greatest(F.lit(1), F.ceil((9 * size - F.col("n") - F.col("nc")) / 18.0), F.ceil((9 * size - 2.25 * F.col("n")) / 9.0)).cast("int")
-    first = measured.select("centre", "id", "comp", "minor", "n", size.alias("nd"), F.posexplode(F.slice("d", F.lit(1), F.greatest(F.lit(0), size - least + 1))).alias("at", "shingle"))
-    others = first.where("minor").select("centre", "shingle", F.col("id").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("nd").alias("pd"), F.col("at").alias("pat"))
+    elements = measured.select("centre", "id", "comp", "minor", F.explode("d").alias("shingle"))
+    times = elements.groupBy("centre", "shingle").agg(F.count("*").alias("times"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("minor").alias("minor"))
+    # Elements where no two components meet come before all others, and need no rows.
+    times = stored(times.where("minor and low <> high").select("centre", "shingle", "times"), "times")
+    late = elements.select("centre", "id", "shingle").join(times, ["centre", "shingle"]).groupBy("centre", "id").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("late"))
+    facts = measured.select("centre", "id", "comp", "minor", "n", "nc", F.size("d").alias("nd"))
+    ordered = stored(facts.join(late.select("centre", "id", F.col("late.shingle").alias("late")), ["centre", "id"]), "ordered")
+
+    far = 9 * F.col("nd") > F.col("n") + F.col("nc")
+    least = F.greatest(F.lit(1), F.ceil((9 * F.col("nd") - F.col("n") - F.col("nc")) / 18.0), F.ceil((9 * F.col("nd") - 2.25 * F.col("n")) / 9.0))
+    least_to_far = F.greatest(least, F.ceil((9 * F.col("nd") + F.col("nc") - F.col("n") + 1) / 18.0))
+
+    def first(rows: DataFrame, to_far: Column, least: Column) -> DataFrame:
+        """The first elements of each row, and with them whether the partners they are for are far."""
+        out = rows.select("centre", "id", "comp", "minor", "n", "nd", to_far.alias("side"), (F.col("nd") - least).alias("last"), F.size("late").alias("ends"), F.posexplode("late").alias("at", "shingle"))
+        return out.withColumn("at", F.col("nd") - F.col("ends") + F.col("at")).where("at <= last").drop("last", "ends")
+
+    minors = ordered.where("minor")
+    others = first(minors, F.lit(True), least_to_far).union(first(minors, F.lit(False), least))
+    others = others.select("centre", "side", "shingle", F.col("id").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("nd").alias("pd"), F.col("at").alias("pat"))
     after = F.least(F.col("nd") - F.col("at"), F.col("pd") - F.col("pat"))
-    met = first.join(others, ["centre", "shingle"]).where((F.col("comp") != F.col("pc")) & (18 * after >= 9 * (F.col("nd") + F.col("pd")) - F.col("n") - F.col("pn")) & _sizes_fit("n", "pn"))
-    return met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    met = first(ordered, far, least_to_far).join(others, ["centre", "side", "shingle"]).where((F.col("comp") != F.col("pc")) & (~F.col("minor") | (F.col("id") < F.col("p"))))
+    met = met.where((18 * after >= 9 * (F.col("nd") + F.col("pd")) - F.col("n") - F.col("pn")) & _sizes_fit("n", "pn"))
+    out = stored(met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "apart")
+    for df in (measured, times, ordered):
+        discard(df)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +279,7 @@ def near_duplicates(docs: DataFrame, *, words: int, id_col: str = "doc_id", text
 
     apart = _apart(buckets, found, sets)
     more = stored(_confirmed(_alike(apart, marks), sets), "links")
-    for df in (shared, buckets, tested, wanted):
+    for df in (shared, buckets, tested, wanted, apart):
         discard(df)
     if not more.isEmpty():
         links = stored(links.union(more), "links")

@@ -72,3 +72,40 @@ def test_very_long_texts(spark):
     other = long[:100_000] + [f"v{i}" for i in range(100_000)]
     rows = [(1, " ".join(long)), (2, " ".join(long + ["end"])), (3, " ".join(other)), (4, "x" * 2_000_000)]
     assert [(i, c) for i, _, c in found(spark, rows, 5)] == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_members_apart_from_their_centre(spark):
+    """All links of a bucket across components, from few pairs where members lack the same part of the centre."""
+    draw = random.Random(8)
+    centre = frozenset(range(100))
+    sets = {0: centre}
+    for near in range(1, 60):
+        sets[near] = centre - {draw.randrange(100) for _ in range(6)} | {draw.randrange(100, 130) for _ in range(6)}
+    for family in range(60):
+        kept = {i for i in centre if draw.random() > 0.1}
+        base = kept | {1000 + 100 * (family % 40) + i for i in range(draw.randrange(8, 30))}
+        for _ in range(3):
+            i = len(sets)
+            sets[i] = frozenset(base - {draw.randrange(100) for _ in range(4)} | {draw.randrange(100, 130) for _ in range(draw.randrange(6))})
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    comp = {i: 0 if linked(centre, s) else i for i, s in sets.items()}
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+    buckets = spark.createDataFrame([(i, 0, len(sets)) for i in sets], "id long, centre long, members long")
+    stars = spark.createDataFrame([(i, 0) for i, c in comp.items() if c == 0], "id long, comp long")
+    met = {tuple(r) for r in nd._apart(buckets, stars, rows).collect()}
+    wanted = {(a, b) for a, b in itertools.combinations(sets, 2) if comp[a] != comp[b] and linked(sets[a], sets[b])}
+    assert wanted and wanted <= met and all(comp[a] != comp[b] for a, b in met)
+    assert len(met) < len(sets) * len(sets) / 20
+
+
+def test_group_of_members_that_lack_the_same_words(spark):
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        kept = [w for w in words if draw.random() > 0.04]
+        for _ in range(draw.randrange(1, 8)):
+            kept[draw.randrange(len(kept))] = f"v{draw.randrange(40)}"
+        texts.append(" ".join(kept))
+    rows = list(enumerate(texts))
+    assert found(spark, rows, 2) == brute(rows, 2)
