@@ -103,3 +103,73 @@ def test_same_template_as_page_by_page(spark):
     pages = ["".join(draw.sample(parts, draw.randrange(1, 4))) + f"<p>story {draw.randrange(12)}</p><p>end {draw.randrange(3)}</p>" for _ in range(30)]
     read = read_pages(spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string"))
     assert {r.t for r in templates(read).collect()} == brute_template(pages)
+
+
+FRAME = "<div><b>Our site</b><p>Welcome</p></div><div>{0}</div><div><h2>More</h2>{1}<h3>End</h3></div>"
+
+
+def nested_hosts():
+    """Pages of hosts without marked articles, each with its text."""
+    from itertools import permutations
+
+    rows = []
+    # the same texts are template in one slot and text in another
+    for i in range(8):
+        said = [f"story {i}", *["News"] * (i % 2), *["Home"] * (i % 3 == 0), *["Sport"] * (i % 4 == 0)]
+        rows.append(("role.example", FRAME.format("".join(f"<p>{x}</p>" for x in said), "<p>Home</p><p>News</p><p>Sport</p>"), " ".join(said)))
+    # texts of all pages that come in any order are no class
+    for order in permutations(["one thing", "two things", "three things"]):
+        rows.append(("order.example", FRAME.format("".join(f"<p>{x}</p>" for x in order), ""), " ".join(order)))
+    # a class needs half of its parent's pages: 12 of 20 have the parent, 7 of these the class inside
+    for i in range(20):
+        inside = "<table><tr><td>Tags<td>Date<td>Author</table>" * (i < 7)
+        rows.append(("kind.example", FRAME.format(f"<p>story {i}</p>", f"<ul><li>Follow<li>us{inside}<li>here</ul>" * (i < 12)), f"story {i}"))
+    # three tokens that cross a class of more pages on one page are no class
+    for i in range(10):
+        own = ["Next", "Last", "First"] * (i < 8)
+        said = ["Our", "Next", "site", "Last", "again", "First"] if i == 0 else ["Our", "site", "again", *own]
+        rows.append(("cross.example", "".join(f"<p>{x}</p>" for x in [*said, f"story {i}"]), " ".join([*own, f"story {i}"])))
+    # a class spread over slots of another one counts in all of them, however few of its tokens lie in each
+    for i in range(8):
+        kind = ["Follow us", "Rights reserved", "Call us"] if i < 6 else [f"story {i} a", f"story {i} b", f"story {i} c"]
+        texts = [kind[0], "Our site", f"story {i}", kind[1], "Contact", kind[2], "Imprint"]
+        rows.append(("spread.example", "".join(f"<p>{x}</p>" for x in texts), f"story {i}" if i < 6 else f"{kind[0]} story {i} {kind[1]} {kind[2]}"))
+    # a class that repeats, with a class in its slot
+    for i in range(6):
+        item = "<dl><dt>By<dd>{0}<dd>on<dd>{1}<dd>Like</dl>"
+        rows.append(("list.example", "".join(item.format(f"name {i} {k}", f"day {i} {k}") for k in range(i + 1)), " ".join(f"name {i} {k} day {i} {k}" for k in range(i + 1))))
+    return rows
+
+
+def test_templates_are_ordered_and_nested(spark):
+    from ripplegraph.llm.html import read_pages, templates
+
+    rows = nested_hosts()
+    pages = spark.createDataFrame([(i, f"http://{host}/{i}", source) for i, (host, source, _) in enumerate(rows)], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in extract(pages).collect()}
+    assert {i: (rows[i][0], out[i]) for i in out} == {i: (host, text) for i, (host, _, text) in enumerate(rows)}
+    found = templates(read_pages(pages).where("host = 'kind.example'")).collect()
+    slots = {r.slot: r for r in found}
+    inside = [r for r in found if r.support == 7]
+    assert inside and all(slots[r.within].support == 12 for r in inside)
+    assert all(slots[slots[r.within].within].support == 20 for r in inside)
+
+
+def test_placing_takes_linear_time():
+    import random
+    import time
+
+    from ripplegraph.llm.html import Placed, _waiting, _disordered, _unordered
+
+    n = 60_000
+    tokens = [x % 6 for x in range(n)]
+    candidates = [{"within": 0, "t": t, "class": t // 3, "first": t, "support": 3, "place": t % 3, "size": 3, "slot": t + 1, "level": 1} for t in range(6)]
+    began = time.process_time()
+    page = Placed(tokens, [])
+    assert list(_unordered(page, candidates, 0)) == [] and list(_waiting(page, candidates, 0)) == []
+    assert all(Placed(tokens, candidates).covered)
+    nested = list(range(n)) + list(range(n))[::-1]
+    assert list(_waiting(Placed(nested, []), [{"within": 0, "t": t, "class": t, "support": 3, "place": 0, "size": 1} for t in range(n)], 0)) == []
+    _disordered(random.Random(1).sample(range(n), n))
+    assert _disordered([1, 2, 5, 3, 4]) == [2]
+    assert time.process_time() - began < 5
