@@ -149,3 +149,29 @@ def test_ordinals_count_only_lines_with_an_order(spark, tmp_path):
     spark.sql(f"SELECT {line} FROM VALUES (1, 2), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (NULL, 1) AS t(a, b)").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = [(r.ordinal, r.l_orderkey, r.l_linenumber) for r in runtime.Frames(spark, str(tmp_path)).coded.orderBy("ordinal").collect()]
     assert got == [(1, 1, 1), (2, 1, 2), (3, 3, 1), (4, 3, 1), (5, 5, 1)]
+
+
+def test_searches_walk_together(spark, counted, monkeypatch):
+    monkeypatch.setattr(graph, "BITS", 5)
+    draw = random.Random(9)
+    names = [f"n{i}" for i in range(50)]
+    pairs = sorted({(draw.choice(names), draw.choice(names)) for _ in range(60)})
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    starts = spark.createDataFrame([(n,) for n in names[:23]], "start string")
+    slow = graph.bounded_search(edges, starts, 3, stored)
+    want = {(r.start, r.node): r.distance for r in slow.collect()}
+    found = graph.reach(edges, starts.union(starts), 3, counted).collect()
+    assert len(found) == len(want) and {(r.start, r.node): r.distance for r in found} == want
+
+
+def test_names_stay_out_of_the_driver(spark, monkeypatch):
+    """Betweenness and communities take numbers of the graph at most."""
+    from pyspark.sql import DataFrame
+
+    seen = []
+    for method in ("collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(spark.range(1)), method, lambda df, real=getattr(type(spark.range(1)), method): (seen.append(df.dtypes), real(df))[1])
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    made = [graph.betweenness(edges, 2), graph.betweenness(edges, 2, of_edges=True), graph.communities(edges), graph.communities(edges, True)]
+    assert all(isinstance(df, DataFrame) for df in made) and seen
+    assert not any(t == "string" for types in seen for _, t in types)
