@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+    """JSON lines, which name each field in each row: compressed, as are the others."""
+    df.write.json(path, compression="gzip")
 
 
 def write_split_json(df: DataFrame, path: str, by: str = "split") -> None:
     """One folder of JSON lines per split."""
-    df.write.partitionBy(by).json(path)
+    df.write.partitionBy(by).json(path, compression="gzip")
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
@@ -25,7 +26,7 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    df.write.mode("append").json(path, compression="gzip")
 
 
 def json_report(frames: dict[str, DataFrame]) -> str:

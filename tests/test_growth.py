@@ -175,3 +175,42 @@ def test_names_stay_out_of_the_driver(spark, monkeypatch):
     made = [graph.betweenness(edges, 2), graph.betweenness(edges, 2, of_edges=True), graph.communities(edges), graph.communities(edges, True)]
     assert all(isinstance(df, DataFrame) for df in made) and seen
     assert not any(t == "string" for types in seen for _, t in types)
+
+
+def test_json_is_compressed(spark, tmp_path):
+    import glob
+    import os
+
+    from ripplegraph.sources import readers, sinks
+
+    rows = spark.range(20_000).select(F.col("id").alias("ordinal"), F.lit("HeatStress1").alias("start_node"), F.lit("causes").alias("relationship"), F.lit("CropYield1").alias("end_node"))
+    sinks.write_json(rows, f"{tmp_path}/json")
+    assert sum(map(os.path.getsize, glob.glob(f"{tmp_path}/json/part*"))) < 20_000 * 20
+    assert readers.read_triples(spark, f"{tmp_path}/json", extra="ordinal long").agg(F.count_distinct("ordinal")).first()[0] == 20_000
+
+
+def test_a_round_of_ranks_deals_nodes_not_edges(spark, counted):
+    """Ranks of 400 edges from 4 nodes: stored are 4 lists, the nodes, and the nodes of each round."""
+    edges = spark.createDataFrame([(f"a{i}", f"b{j}") for i in range(4) for j in range(100)], "src string, dst string")
+    graph.pagerank(edges, counted, 3, None).collect()
+    assert counted.rows == 4 + 104 + 3 * 104
+
+
+def test_distances_of_pairs_are_found_without_whole_searches(spark, counted, monkeypatch):
+    monkeypatch.setattr(graph, "BITS", 3)
+    draw = random.Random(11)
+    names = [f"n{i}" for i in range(80)]
+    arcs = sorted({(draw.choice(names), draw.choice(names)) for _ in range(75)})
+    edges = spark.createDataFrame(arcs, "src string, dst string")
+    pairs = sorted({(draw.choice(names), draw.choice([*names, "far"])) for _ in range(150)} | {(names[3], names[3])})
+    whole = graph.bounded_search(edges, spark.createDataFrame([(n,) for n in names], "start string"), 4, stored)
+    inside = {n for a, b in arcs if a != b for n in (a, b)}
+    want = {(r.start, r.node): r.distance for r in whole.collect() if r.start in inside}
+    found = graph.distances(edges, spark.createDataFrame(pairs, "a string, b string"), 4, counted).collect()
+    got = {(r.a, r.b): r.distance for r in found}
+    assert len(found) == len(got) and got == {p: want[p] for p in pairs if p in want}
+    hub = spark.createDataFrame([("hub", f"x{i}") for i in range(2000)] + [("hub", "y"), ("x0", "z")], "src string, dst string")
+    counted.rows = 0
+    asked = spark.createDataFrame([(f"x{i}", "hub") for i in range(1000)] + [("y", "z")], "a string, b string")
+    assert {r.distance for r in graph.distances(hub, asked, 4, counted).collect()} == {1, 3}
+    assert counted.rows < 20_000  # 1,000 searches from each start would have two million rows
